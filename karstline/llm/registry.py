@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from karstline.llm import bpe, decontaminate
+from karstline.llm import bpe, decontaminate, linededup, minhash
 
-MODULES = (decontaminate, bpe)
+MODULES = (linededup, minhash, decontaminate, bpe)
 
 
 def queries() -> dict:
