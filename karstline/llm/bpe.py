@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 
 from karstline.llm.common import list_array, read_table, small_batches
 
-CHUNK_CHARS = 16_384
-OVERLAP_CHARS = 256
+#: Shorter texts are one chunk: cutting them would move more than it spreads.
+CHUNK_CHARS = 65_536
+OVERLAP_CHARS = 1024
 #: A match's text can change what follows it by at most this many characters.
 LOOKAHEAD = 3
 VOCABULARY_LIMIT = 64 << 20
