@@ -59,8 +59,13 @@ class Codec:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
         core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.find = regex.compile(pattern).findall
-        self.pieces = Pieces(core._core_bpe.encode_single_piece)
+        self.core = core._core_bpe
+        self.pieces = Pieces(self.core.encode_single_piece)
         self.bytes_of = {i: b for b, i in ranks.items()}
+        size = max(self.bytes_of, default=-1) + 1
+        self.raw = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), np.uint8)
+        self.lengths = np.array([len(self.bytes_of.get(i, b"")) for i in range(size)], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def pre_tokenise(self, text: str) -> list[str]:
         return self.find(text)
@@ -68,8 +73,17 @@ class Codec:
     def encode_pieces(self, pieces: list[str]) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def encode_whole(self, text: str) -> np.ndarray:
+        """Ids of a text that is one chunk: nothing to stitch, its pieces are encoded as they are matched."""
+        return np.frombuffer(self.core.encode_to_tiktoken_buffer(text, set()), np.uint32).astype(np.int32)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids, one after another."""
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        if not len(ends):
+            return b""
+        return self.raw[np.repeat(self.starts[ids] - ends + n, n) + np.arange(ends[-1])].tobytes()
 
 
 _codecs: dict[bytes, Codec] = {}
@@ -140,9 +154,8 @@ def encode(
     def encode_short(batches):
         own = codec(shared.value, pattern)
         for b in small_batches(batches):
-            ids = [own.encode_pieces(own.pre_tokenise(t)) if t else [] for t in b.column(1).to_pylist()]
-            flat = np.fromiter(chain.from_iterable(ids), np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), list_array(flat, [len(x) for x in ids], pa.int32())], names=[id_col, "ids"])
+            ids = [own.encode_whole(t) if t else np.empty(0, np.int32) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), list_array(np.concatenate(ids), [len(x) for x in ids], pa.int32())], names=[id_col, "ids"])
 
     short = rows.where(~is_long).mapInArrow(encode_short, out)
 
@@ -183,7 +196,8 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, *, ids_col: str =
     def run(batches: Iterator[pa.RecordBatch]):
         own = codec(shared.value, pattern)
         for b in small_batches(batches):
-            texts = [None if i is None else own.decode(i) for i in b.column(place).to_pylist()]
+            ids = b.column(place)
+            texts = [own.decode(ids[i].values.to_numpy()) if ids[i].is_valid else None for i in range(len(ids))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], names=[*rest, "decoded"])
 
     return encoded.select(*rest).mapInArrow(run, schema)
