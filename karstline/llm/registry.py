@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from karstline.llm import bpe, decontaminate, linededup, minhash
+from karstline.llm import bpe, decontaminate, licenses, linededup, minhash, toxicity
 
-MODULES = (linededup, minhash, decontaminate, bpe)
+MODULES = (licenses, toxicity, linededup, minhash, decontaminate, bpe)
 
 
 def queries() -> dict:
