@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from karstline.llm import bpe, decontaminate, licenses, linededup, minhash, toxicity
+from karstline.llm import bpe, decontaminate, fixity, htmlcrf, licenses, linededup, minhash, topk, toxicity
 
-MODULES = (licenses, toxicity, linededup, minhash, decontaminate, bpe)
+MODULES = (topk, htmlcrf, licenses, fixity, toxicity, linededup, minhash, decontaminate, bpe)
 
 
 def queries() -> dict:
