@@ -8,7 +8,10 @@ chance of equal low bits taken out.  Links are confirmed on the full sets.
 
 Groups of any size stay linear: equal sets collapse to one node first, a
 bucket links its nodes to one leader, and only nodes that are still in
-different components of one bucket are compared with each other.
+different components of one bucket are compared with each other: first by bit
+counts of the signatures, then by a bitmap of the shingles, which bounds the
+difference of two sets from below and so loses no link.  The pairs that both
+leave, nearly all of them links, are confirmed.
 """
 
 from __future__ import annotations
@@ -34,6 +37,9 @@ SLACK = 0.2
 #: Ids that are broadcast at most (24 bytes each, about); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: Places of the bitmap of a set.
+MARKS = 4096
+
 _LONGS = BANDS * ROWS * BITS // 64
 _EVEN_BITS = 0x5555555555555555
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +99,19 @@ def estimate(a: Column, b: Column) -> Column:
     return (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
+def marks_of(found: np.ndarray) -> np.ndarray:
+    """Bitmap of a set: a place in one bitmap only stands for at least one shingle of one set only."""
+    places = np.zeros(MARKS, np.uint8)
+    places[(found >> np.uint64(17)).astype(np.int64) % MARKS] = 1
+    return np.packbits(places).view(np.int64)
+
+
+def may_link(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """False only for pairs under the threshold: links differ in at most (1 - t) / (1 + t) of the sizes' sum."""
+    unlike = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return unlike * (100 + percent) <= (n_a + n_b) * (100 - percent)
+
+
 def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """``(id, n_shingles, set_key, buckets, bits)`` of each row; an empty set has null buckets and bits."""
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("n_shingles long, set_key binary, buckets array<long>, bits array<long>").fields])
@@ -196,9 +215,9 @@ def near_duplicates(
     count = involved.count()
     if count:
         involved = F.broadcast(involved) if count <= BROADCAST_IDS else involved
-        bits = checkpoint(nodes.join(involved, "node").select("node", "bits"))
         sets = checkpoint(_sets(rows.join(involved.withColumnRenamed("node", id_col), id_col), shingle_words, id_col))
-        links = _linked(multi, bits, sets, percent)
+        traits = checkpoint(nodes.join(involved, "node").join(sets.select("node", "n", "marks"), "node"))
+        links = _linked(multi, traits, sets, percent)
 
     edges = members.where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     if links is not None:
@@ -215,49 +234,54 @@ def _sets(rows: DataFrame, size: int, id_col: str) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
         for b in small_batches(batches):
-            found = [shingles(plain_words(t), size, hashes).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "hashes"])
+            found = [shingles(plain_words(t), size, hashes) for t in b.column(1).to_pylist()]
+            marks = [marks_of(x) for x in found]
+            columns = [pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), list_array(np.concatenate(marks), [len(x) for x in marks], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["node", "n", "hashes", "marks"])
 
-    return rows.select(id_col, "__text").mapInArrow(run, "node long, hashes binary")
+    return rows.select(id_col, "__text").mapInArrow(run, "node long, n long, hashes binary, marks array<long>")
 
 
-def _linked(multi: DataFrame, bits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(multi: DataFrame, traits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(node, root)`` of confirmed links among nodes that share buckets."""
-    least = percent / 100 - SLACK
+    names = ("node", "bits", "marks", "n")
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        left = bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"))
-        right = bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b"))
-        return pairs.join(left, "a").join(right, "b").where(estimate(F.col("bits_a"), F.col("bits_b")) >= least).select("a", "b")
+    def side(frame: DataFrame, s: str, *more: str) -> DataFrame:
+        return frame.select(*[F.col(c).alias(f"{c}_{s}") for c in (*names, *more)])
 
-    # each node with the least leader of its buckets
-    first = multi.groupBy("node").agg(F.min("leader").alias("a")).where("a != node").select("a", F.col("node").alias("b"))
-    roots = components(confirmed(likely(first), sets, percent))
+    close = estimate(F.col("bits_a"), F.col("bits_b")) >= percent / 100 - SLACK
+    close = close & may_link(F.col("marks_a"), F.col("marks_b"), F.col("n_a"), F.col("n_b"), percent)
+
+    def links(pairs: DataFrame) -> DataFrame:
+        a, b = (side(traits, s).withColumnRenamed(f"node_{s}", s) for s in "ab")
+        return confirmed(pairs.join(a, "a").join(b, "b").where(close).select("a", "b"), sets, percent)
 
-    # each node with the leaders of its buckets that are in other components
     def labelled(frame: DataFrame, column: str, to: str) -> DataFrame:
         return frame.join(roots.select(F.col("node").alias(column), F.col("root").alias(to)), column, "left").withColumn(to, F.coalesce(to, column))
 
+    def extended(more: DataFrame) -> DataFrame:
+        more = checkpoint(more)
+        return roots if more.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+
+    # each node with the least leader of its buckets
+    first = multi.groupBy("node").agg(F.min("leader").alias("a")).where("a != node").select("a", F.col("node").alias("b"))
+    roots = components(links(first))
+
+    # each node with those leaders of its buckets that are in other components
     pairs = multi.where("leader != node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     pairs = labelled(labelled(pairs, "a", "root_a"), "b", "root_b").where("root_a != root_b").select("a", "b")
-    more = checkpoint(confirmed(checkpoint(likely(pairs)), sets, percent))
-    old = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    if not more.isEmpty():
-        roots = components(old.unionAll(more))
-        old = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = extended(links(pairs))
 
-    # nodes of one bucket that are still in different components, each pair once
+    # nodes of one bucket that are still in different components: each pair once, in the first band that they share
     rest = labelled(multi.select("bucket", "node"), "node", "root")
     several = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-    rest = checkpoint(rest.join(several, "bucket").join(bits, "node").select("bucket", "node", "root", "bits"))
-    left, right = (rest.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "bits")]) for s in "ab")
-    close = estimate(F.col("bits_a"), F.col("bits_b")) >= least
-    pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & close)
-    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    more = checkpoint(confirmed(pairs, sets, percent))
-    if not more.isEmpty():
-        roots = components(old.unionAll(more))
-    return roots
+    rest = rest.join(several, "bucket").join(traits, "node").withColumn("band", F.array_position("buckets", F.col("bucket")))
+    rest = checkpoint(rest)
+    a, b = (side(rest, s, "root", "buckets", "band", "bucket") for s in "ab")
+    once = F.array_position(F.zip_with("buckets_a", "buckets_b", lambda x, y: x == y), True) == F.col("band_a")
+    other = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
+    pairs = a.join(b, (F.col("bucket_a") == F.col("bucket_b")) & other & close & once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return extended(confirmed(pairs, sets, percent))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
