@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from karstline.llm import bpe, decontaminate, fixity, htmlcrf, licenses, linededup, minhash, topk, toxicity
+from karstline.llm import bpe, decontaminate, fixity, hpylm, htmlcrf, licenses, linededup, minhash, topk, toxicity
 
-MODULES = (topk, htmlcrf, licenses, fixity, toxicity, linededup, minhash, decontaminate, bpe)
+MODULES = (hpylm, topk, htmlcrf, licenses, fixity, toxicity, linededup, minhash, decontaminate, bpe)
 
 
 def queries() -> dict:
