@@ -135,6 +135,8 @@ class DuckAdapter:
         if op == "add-a-plus-one":
             return f"SELECT {names[0]} + CAST(1 AS INTEGER) FROM t ORDER BY __row", [Field("a_plus_one", "int32", schema.fields[0].nullable)]
         if m := re.fullmatch(r"(eq|lt)-column-0-literal-(\w+)", op):
+            if schema.fields[0].token != "utf8":
+                return None
             return f"SELECT {names[0]} {'=' if m[1] == 'eq' else '<'} '{m[2]}' FROM t ORDER BY __row", [Field("comparison", "boolean", schema.fields[0].nullable)]
         if op.startswith("literal-int32"):
             return f"SELECT CAST({'NULL' if op.endswith('null') else 7} AS INTEGER) FROM t", [Field("lit", "int32", op.endswith("null"))]
