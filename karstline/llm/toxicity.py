@@ -104,7 +104,7 @@ class Model:
         self.ids, self.labels = [i for i, _, _ in held], [y for _, y, _ in held]
         self.index = BlockMaxIndex([v for _, _, v in held])
         self.none = (sum(rest) + 0.5) / (len(rest) + 1)
-        votes = [self.vote(self.nearest(v, i)) for i, _, v in held]
+        votes = [self.vote(self.others(v, n)) for n, (_, _, v) in enumerate(held)]
         told = [(v, y) for v, y in zip(votes, self.labels, strict=True) if v is not None]
         self.xs, self.ys = isotonic([v for v, _ in told], [y for _, y in told])
         self.known: dict = {}
@@ -128,17 +128,16 @@ class Model:
                 out[t] = out.get(t, 0) + n
         return out
 
-    def nearest(self, vector, own_id) -> list[tuple[float, int]]:
-        """The k nearest examples but the document itself."""
-        found = self.index.top(vector, self.k + 1)
-        return [x for x in found if self.ids[x[1]] != own_id][: self.k]
+    def others(self, vector, own: int) -> list[tuple[float, int]]:
+        """The k nearest of the other examples, for calibration."""
+        return [x for x in self.index.top(vector, self.k + 1) if x[1] != own][: self.k]
 
     def vote(self, nearest) -> float | None:
         weights = [1 / (1.05 + s) for s, _ in nearest]
         return sum(w * self.labels[i] for w, (_, i) in zip(weights, nearest, strict=True)) / sum(weights) if nearest else None
 
-    def score(self, own_id, text: str | None) -> tuple[float, list[tuple]]:
-        """Calibrated score and evidence ``(example id, cosine, label)``."""
+    def score(self, text: str | None) -> tuple[float, list[tuple]]:
+        """Calibrated score and evidence ``(example id, cosine, label)``, from the text alone."""
         counts = self.counts(text)
         if not counts:
             return self.none, []
@@ -147,11 +146,10 @@ class Model:
         if found is None:
             if len(self.results) >= 50_000:
                 self.results.clear()
-            found = self.results[key] = self.index.top(self.vector(counts), self.k + 1)
-        nearest = [x for x in found if self.ids[x[1]] != own_id][: self.k]
-        vote = self.vote(nearest)
+            found = self.results[key] = self.index.top(self.vector(counts), self.k)
+        vote = self.vote(found)
         score = self.none if vote is None or not self.xs else float(np.interp(vote, self.xs, self.ys))
-        return score, [(self.ids[i], -s, self.labels[i]) for s, i in nearest]
+        return score, [(self.ids[i], -s, self.labels[i]) for s, i in found]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -201,8 +199,9 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     Returns ``id_col, score double (0 to 1), evidence array<struct<doc_id long,
     cosine double, label int>>``, after all columns of ``docs`` if ``keep``.  A text without any term, null and empty ones too,
-    gets the label rate of such examples and no evidence; a document is no evidence
-    for itself.  Ids are whole numbers; null and repeated ids are scored like any.
+    gets the label rate of such examples and no evidence.  Nothing but the text enters
+    a score, so equal texts have equal scores.  Ids are whole numbers; null and
+    repeated ids are scored like any.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if (keep or c == id_col) and c not in ("score", "evidence")]
@@ -213,11 +212,11 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     def run(batches):
         own = shared.value
         for b in small_batches(batches):
-            pairs = [own.score(i, t) for i, t in zip(b.column(len(kept)).to_pylist(), b.column(len(kept) + 1).to_pylist(), strict=True)]
+            pairs = [own.score(t) for t in b.column(len(kept)).to_pylist()]
             evidence = [[dict(zip(("doc_id", "cosine", "label"), e, strict=True)) for e in found] for _, found in pairs]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array([s for s, _ in pairs], pa.float64()), pa.array(evidence, kind)], names=schema.names)
 
-    return docs.select(*kept, F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

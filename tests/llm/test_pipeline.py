@@ -59,7 +59,7 @@ def test_run_equals_plain_stages(spark, docs, tmp_path):
     folder = str(tmp_path)
     frame, texts = write(spark, docs, folder)
     model = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
-    rows = [(i, t) for i, t in enumerate(texts) if model.score(i, t)[0] < toxicity.THRESHOLD]
+    rows = [(i, t) for i, t in enumerate(texts) if model.score(t)[0] < toxicity.THRESHOLD]
     assert 0 < len(texts) - len(rows) <= 40
     sizes = [len(rows)]
     for stage in (line_dedup, near_dedup, lambda r: decontaminate(r, [(1, LEAK), (2, "not in any document at all, this one")])):
