@@ -61,10 +61,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(folded, _BREAKS), "")
 
 
-def grams(w: Column, k: int) -> Column:
-    """Hash of each k words that follow one another."""
-    hashed = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[w[i + j] for j in range(k)]))
-    return F.when(F.size(w) >= k, hashed).otherwise(F.array().cast("array<long>"))
+def grams(rows: DataFrame, w: str, k: int) -> DataFrame:
+    """The rows once for each k words of ``w`` that follow one another: adds ``pos`` and ``gram``, their hash.
+
+    The words are a column of their own, so nothing is split again, and the
+    generator, the hash and the join behind it are one generated function.
+    """
+    exploded = rows.select("*", F.posexplode(w).alias("pos", "__word"))
+    gram = F.xxhash64("__word", *[F.get(w, F.col("pos") + j) for j in range(1, k)])
+    return exploded.where(F.col("pos") <= F.size(w) - k).withColumn("gram", gram).drop("__word")
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
@@ -103,8 +108,8 @@ def find_spans(
     words match nothing; null and empty texts have no spans.
     """
     table = template_table(docs.sparkSession, TEMPLATES if templates is None else templates)
-    positions = table.select("template", F.size("t_words").alias("t_size"), F.posexplode(grams(F.col("t_words"), k)).alias("t_pos", "gram"))
-    placed = docs.select(*_key(id_col, text_col), F.posexplode(grams(words(F.col(text_col)), k)).alias("pos", "gram"))
+    positions = grams(table, "t_words", k).select("template", F.size("t_words").alias("t_size"), F.col("pos").alias("t_pos"), "gram")
+    placed = grams(docs.select(*_key(id_col, text_col), words(F.col(text_col)).alias("w")), "w", k).select("id", "hash", "pos", "gram")
     matches = placed.join(F.broadcast(positions), "gram").select("id", "hash", "template", "t_size", "pos", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
     votes = matches.groupBy("id", "hash", "template", "t_size", "diagonal").agg(F.countDistinct("pos").alias("votes"), F.min("pos").alias("first"), (F.max("pos") + k).alias("after"))
     one = Window.partitionBy("id", "hash", "template").orderBy("first", "diagonal")
