@@ -156,15 +156,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, terms:
     """Learns from at most ``examples`` labelled rows outside the held-out third.
 
     Of rows that share an id the greatest label counts and each text is an
-    example, of equal texts the least id and greatest label; null ids, labels or texts teach nothing.  The driver receives the
+    example, of near copies the one with the least id; null ids, labels or texts teach nothing.  The driver receives the
     chosen terms and the examples' counts of them, both bounded by parameters.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~is_held_out(F.col(id_col), HELD_OUT_PARTS))
     chosen = usable.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(examples)
     chosen = checkpoint(chosen)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "id")
-    # of equal texts one teaches: groups of copies would make chance terms look telling
-    texts = checkpoint(texts.groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label")).select("id", "label", "text"))
+    # of texts with the same two least word hashes one teaches: groups of copies would make chance terms look telling
+    w = F.split(F.lower("text"), r"\s+")
+    least = {"least0": F.array_min(F.transform(w, lambda x: F.xxhash64(x, F.lit(0)))), "least1": F.array_min(F.transform(w, lambda x: F.xxhash64(x, F.lit(1))))}
+    one = texts.withColumns(least).groupBy("least0", "least1").agg(F.min(F.struct("id", "label", "text")).alias("one"))
+    texts = checkpoint(one.select("one.id", "one.label", "one.text"))
     total, toxic = texts.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
 
     def distinct_terms(batches):
