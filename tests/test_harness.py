@@ -93,6 +93,54 @@ def test_other_local_runs():
         assert LocalRun({"a": values}, outputs).run()["runtime_events"][-1]["event"] == "error"
 
 
+def short(found):
+    """Events as text: consumers ``name+bytes`` and so on, batches ``id:claims``."""
+    sign = {"consumer_opened": "open", "reserve_admitted": "+", "reserve_denied": "no", "consumer_shrunk": "-", "consumer_released": "free"}
+    a = [f"{e['name'].split(':')[1]} {sign[e['event']]}{e.get('bytes', '')}" for e in found["admission_events"]]
+    r = [f"{e['event'].removeprefix('batch_')} {e['batch_id']}:{e['claim_count']}" if "batch_id" in e else e.get("message", e["event"]) for e in found["runtime_events"]]
+    return a, r
+
+
+PLUS, NULL, SEVEN = ("plus", Add(Column(0), int32(1))), ("null", int32(None)), ("seven", int32(7))
+WHOLE, HOLED = [1, 2, 3], [1, None, 3]
+START = ["emitted 1:0", "handed_off 1:0"]
+CLAIMED = ["emitted 1:1", "handed_off 1:1"]
+# Events of each documented checkpoint.
+CHECKPOINTS = [
+    (WHOLE, [PLUS], (), None, None, ["plus open", "plus +13", "plus -1"], [*START, "emitted 2:1", "handed_off 2:1"]),
+    (WHOLE, [PLUS], (), None, "finished", ["plus open", "plus +13", "plus -1", "plus free12"], [*START, "emitted 2:1", "handed_off 2:1", "released 2:1", "finished"]),
+    (WHOLE, [PLUS], (), 0, "finished", ["plus open", "plus no13"], [*START, "Compute error: admission denied for Projection:plus: requested 13 bytes with limit 0"]),
+    (WHOLE, [("a", Column(0)), ("b", Column(0))], ("a",), None, None, ["a open", "a +12"], [*CLAIMED, "emitted 2:1", "released 1:1", "handed_off 2:1"]),
+    (WHOLE, [("a", Column(0)), ("b", Column(0))], ("a",), None, "finished", ["a open", "a +12", "a free12"], [*CLAIMED, "emitted 2:1", "released 1:1", "handed_off 2:1", "released 2:1", "finished"]),
+    (WHOLE, [("a", Column(1))], (), None, "finished", [], [*START, "Compute error: missing input column at index 1"]),
+    (WHOLE, [("a", Column(0)), PLUS], ("a",), None, None, ["a open", "a +12", "plus open", "plus +13", "plus -1"], [*CLAIMED, "emitted 2:2", "released 1:1", "handed_off 2:2"]),
+    (WHOLE, [("a", Column(0)), PLUS], ("a",), None, "cancelled", ["a open", "a +12", "plus open", "plus +13", "plus -1", "a free12", "plus free12"], [*CLAIMED, "emitted 2:2", "released 1:1", "handed_off 2:2", "released 2:2", "cancelled"]),
+    (WHOLE, [("a", Column(0)), PLUS], ("a",), None, "finished", ["a open", "a +12", "plus open", "plus +13", "plus -1", "a free12", "plus free12"], [*CLAIMED, "emitted 2:2", "released 1:1", "handed_off 2:2", "released 2:2", "finished"]),
+    (WHOLE, [PLUS, NULL], (), None, None, ["plus open", "plus +13", "plus -1", "null open", "null +13"], [*START, "emitted 2:2", "handed_off 2:2"]),
+    (WHOLE, [PLUS, NULL], (), None, "finished", ["plus open", "plus +13", "plus -1", "null open", "null +13", "plus free12", "null free13"], [*START, "emitted 2:2", "handed_off 2:2", "released 2:2", "finished"]),
+    (WHOLE, [SEVEN], (), None, None, ["seven open", "seven +13", "seven -1"], [*START, "emitted 2:1", "handed_off 2:1"]),
+    (WHOLE, [SEVEN], (), None, "finished", ["seven open", "seven +13", "seven -1", "seven free12"], [*START, "emitted 2:1", "handed_off 2:1", "released 2:1", "finished"]),
+    (WHOLE, [NULL], (), None, None, ["null open", "null +13"], [*START, "emitted 2:1", "handed_off 2:1"]),
+    (WHOLE, [NULL], (), None, "finished", ["null open", "null +13", "null free13"], [*START, "emitted 2:1", "handed_off 2:1", "released 2:1", "finished"]),
+    (HOLED, [PLUS], (), None, None, ["plus open", "plus +13"], [*START, "emitted 2:1", "handed_off 2:1"]),
+    (HOLED, [PLUS], (), None, "finished", ["plus open", "plus +13", "plus free13"], [*START, "emitted 2:1", "handed_off 2:1", "released 2:1", "finished"]),
+    ([2**31 - 1, 2, 3], [PLUS], (), None, "finished", ["plus open", "plus +13", "plus free13"], [*START, "Compute error: int32 overflow in Projection:plus at row 0"]),
+    (WHOLE, [("a", Column(0))], ("a",), None, None, ["a open", "a +12"], [*CLAIMED, "emitted 2:1", "released 1:1", "handed_off 2:1"]),
+    (WHOLE, [("a", Column(0))], ("a",), None, "finished", ["a open", "a +12", "a free12"], [*CLAIMED, "emitted 2:1", "released 1:1", "handed_off 2:1", "released 2:1", "finished"]),
+    (WHOLE, [("a", Column(0))], ("a",), None, "release-violation", ["a open", "a +12", "a free12"], [*CLAIMED, "emitted 2:1", "released 1:1", "handed_off 2:1", "released 2:1", "ownership contract violation: attempted to release the consumer for live claim 1 while that claim still referenced it"]),
+    (WHOLE, [("a", Column(0))], ("a",), None, "shrink-violation", ["a open", "a +12", "a free12"], [*CLAIMED, "emitted 2:1", "released 1:1", "handed_off 2:1", "released 2:1", "ownership contract violation: attempted to shrink 1 bytes from the consumer for live claim 1 while that claim still referenced it"]),
+    ([True, False, True], [PLUS], (), None, "finished", [], [*START, "Compute error: unsupported data type: expected Int32 input for arithmetic at column 0, got Boolean"]),
+]
+
+
+@pytest.mark.parametrize("number", range(len(CHECKPOINTS)))
+def test_checkpoints(number):
+    values, outputs, claimed, limit, terminal, admission, runtime = CHECKPOINTS[number]
+    found = LocalRun({"a": values}, outputs, claimed, limit).run(terminal)
+    assert short(found) == (admission, runtime)
+    assert all(e["origin"]["query"] == "local-query" for e in found["runtime_events"] if "origin" in e)
+
+
 def test_admission_rules():
     a = Admission(10)
     x, y = a.open("x", "projection_output"), a.open("y", "filter_output")
