@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karstline.llm.common import WordHashes, checkpoint, is_held_out, mix64, plain_words, read_table, small_batches
+from karstline.llm.common import WordHashes, bounded, checkpoint, is_held_out, mix64, plain_words, read_table, small_batches
 
 HELD_OUT_PARTS = 5
 CONTEXTS = 1 << 14
@@ -36,7 +36,7 @@ BURN_IN, SAMPLES, SUMS = 2, 3, 2
 #: Strengths of context restaurants and of their parent.
 STRENGTH, ROOT_STRENGTH = 1.0, 1.0
 #: Text bytes whose tokens meet in one bucket, about, and tokens or documents that are packed at once.
-BUCKET_BYTES, PART_TOKENS, PART_DOCS = 36 << 20, 2_000_000, 60_000
+BUCKET_BYTES, PART_TOKENS, PART_DOCS = 20 << 20, 1_500_000, 60_000
 #: Documents of the sample that says which words are spread over all buckets (layout only: results stay exact).
 LAYOUT_DOCS, HOT_WORDS = 4000, 2048
 #: Customers of one dish are seated one by one up to this number, then in groups of an eighth of those seated.
@@ -112,9 +112,11 @@ class Bucket:
             train.append(learns)
             self.docs.append(docs)
         self.sizes = [len(k) for k in keys]
-        dishes, place = np.unique(np.concatenate(keys), return_inverse=True)
+        del unpacked
+        keys = np.concatenate(keys)
+        dishes = np.unique(keys)
+        self.place = np.searchsorted(dishes, keys).astype(np.int32)
         del keys
-        self.place = place.astype(np.int32)
         self.word, self.context = dishes // CONTEXTS, dishes % CONTEXTS
         self.count = np.bincount(self.place[np.concatenate(train)], minlength=len(dishes)).astype(np.float64)
         self.word_count = np.bincount(self.word, self.count, len(self.words))
@@ -201,10 +203,12 @@ def _parts(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             before = np.empty_like(token)
             before[1:] = token[:-1]
             before[np.cumsum(sizes) - sizes] = start
-            context = mix64(before) % np.uint64(CONTEXTS)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
+            context = (mix64(before) % np.uint64(CONTEXTS)).astype(np.uint16)
+            del before, words
+            doc = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
             spread = np.isin(token, hot)
-            bucket = np.where(spread, mix64(token ^ mix64(context + np.uint64(1))), token >> np.uint64(24)) % np.uint64(buckets)
+            bucket = ((token >> np.uint64(24)) % np.uint64(buckets)).astype(np.int32)
+            bucket[spread] = mix64(token[spread] ^ mix64(context[spread].astype(np.uint64) + np.uint64(1))) % np.uint64(buckets)
             order = np.lexsort((context, token, bucket))
             token, context, doc, bucket = token[order], context[order], doc[order], bucket[order]
             learn = np.array(learns)[doc]
@@ -385,11 +389,13 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     n_known, train_tokens long, base_score, score, perplexity double``.  A null or
     empty text is its end mark alone; a null id is not held out; repeated rows are
     customers each and get the same scores; an empty table gives no rows.  Words
-    that no training text has share one symbol.  Other columns are left out.
+    that no training text has share one symbol.  Other columns are left out.  Rows
+    must come in an order that a lost task would see again, as a table's or a
+    checkpoint's do: parts refer to documents by their place.
     """
     spark = docs.sparkSession
     ident = F.col(id_col).cast("long")
-    rows = docs.select(ident.alias("id"), F.col(text_col).alias("text"), is_held_out(F.col(id_col), held_out_parts).alias("out"))
+    rows = bounded(docs).select(ident.alias("id"), F.col(text_col).alias("text"), is_held_out(F.col(id_col), held_out_parts).alias("out"))
     size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)), F.count("*")).first()
     buckets = max(1, -(-int(size) // bucket_bytes))
     every = max(1, int(n) // LAYOUT_DOCS)
