@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karstline.llm.common import list_array, read_table, small_batches
+from karstline.llm.common import bounded, list_array, read_table, small_batches
 
 #: Shorter texts are one chunk: cutting them would move more than it spreads.
 CHUNK_CHARS = 65_536
@@ -37,7 +37,7 @@ VOCABULARY_LIMIT = 64 << 20
 class Pieces(dict):
     """Ids by pre-token, remembered up to a bounded number of pre-tokens."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __init__(self, encode):
         super().__init__()
@@ -148,7 +148,7 @@ def encode(
     shared = docs.sparkSession.sparkContext.broadcast(rank_file(vocabulary))
     kind = docs.schema[id_col].dataType
     out = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
+    rows = bounded(docs).select(F.col(id_col), F.col(text_col).alias("__text"))
     is_long = F.coalesce(F.length("__text"), F.lit(0)) > chunk_chars
 
     def encode_short(batches):
@@ -200,7 +200,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, *, ids_col: str =
             texts = [own.decode(ids[i].values.to_numpy()) if ids[i].is_valid else None for i in range(len(ids))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], names=[*rest, "decoded"])
 
-    return encoded.select(*rest).mapInArrow(run, schema)
+    return bounded(encoded).select(*rest).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str, **options) -> DataFrame:

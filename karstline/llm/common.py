@@ -19,6 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 4 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _ALNUM = bytearray(range(256))
 for _b in _SEPARATORS:
@@ -42,6 +46,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The same frame, in a session whose Arrow batches hold ``BATCH_BYTES`` at most.
+
+    Spark's limit of 64 MB would be held several times over by each task, in the
+    JVM's direct memory and in Python.  A limit that the session has set stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_LIMIT) in ("67108864b", "64MB", "64m"):
+        conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+    return df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder named by ``spark.checkpoint.dir``.
 
@@ -69,7 +85,7 @@ def is_held_out(column, parts: int):
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bounded number of words."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

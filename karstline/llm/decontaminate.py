@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karstline.llm.common import alnum_words, read_table, small_batches
+from karstline.llm.common import alnum_words, bounded, read_table, small_batches
 
 WINDOW_WORDS = 8
 MIN_ITEMS = 2
@@ -121,7 +121,7 @@ def scan(
     kept = [c for c in docs.columns if keep_text or c == id_col]
     kept = [c for c in kept if c not in ("n_words", "spans", "items")]
     # the text rides last while passes remain
-    out = docs.select(*kept, F.col(text_col).alias("__text"), *[F.lit(None).cast(t).alias(n) for n, t in (("n_words", "long"), ("spans", "array<struct<first_word:int,after_word:int>>"), ("items", "array<string>"))])
+    out = bounded(docs).select(*kept, F.col(text_col).alias("__text"), *[F.lit(None).cast(t).alias(n) for n, t in (("n_words", "long"), ("spans", "array<struct<first_word:int,after_word:int>>"), ("items", "array<string>"))])
     schema = out.schema
     place = {name: len(kept) + i for i, name in enumerate(("__text", "n_words", "spans", "items"))}
     types = {f.name: f.type for f in pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first_word", pa.int32()), ("after_word", pa.int32())]))), ("items", pa.list_(pa.string()))])}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karstline.llm.common import read_table, small_batches
+from karstline.llm.common import bounded, read_table, small_batches
 
 #: Labelled pages that are written for training, and passes over them.
 TRAINING_PAGES, PASSES = 500, 120
@@ -387,7 +387,7 @@ def extract(pages: DataFrame, field: Field, *, html_col: str = "html", keep: tup
     Other columns are left out, whatever their names.
     """
     shared = pages.sparkSession.sparkContext.broadcast(field)
-    rows = pages.select(*keep, F.col(html_col).alias("__html"))
+    rows = bounded(pages).select(*keep, F.col(html_col).alias("__html"))
     schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karstline.llm.common import checkpoint, read_table, small_batches
+from karstline.llm.common import bounded, checkpoint, read_table, small_batches
 
 MAX_EDITS = 1
 #: Lines of fewer code points are left alone: headings and list marks say nothing about copying.
@@ -195,7 +195,7 @@ def dedup_lines(
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     occurrences = checkpoint(_occurrences(rows, min_chars, max_edits))
     firsts = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("first"), F.max(F.struct("id", "line")).alias("last"))
     firsts = checkpoint(firsts)

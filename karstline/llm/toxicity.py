@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karstline.llm.common import alnum_words, checkpoint, is_held_out, read_table, small_batches
+from karstline.llm.common import alnum_words, bounded, checkpoint, is_held_out, read_table, small_batches
 
 #: Labelled rows that are fitted at most, those with the least hash of their id.
 EXAMPLES = 8000
@@ -33,6 +33,8 @@ NEIGHBOURS = 15
 BLOCK = 128
 THRESHOLD = 0.7
 HELD_OUT_PARTS = 3
+#: Words and vectors whose terms and neighbours a worker remembers at most.
+KNOWN_WORDS, KNOWN_VECTORS = 150_000, 4000
 
 
 def terms_of(word: bytes) -> list[bytes]:
@@ -121,7 +123,7 @@ class Model:
         for word, n in Counter(alnum_words(text)).items():
             mine = known.get(word)
             if mine is None:
-                if len(known) >= 400_000:
+                if len(known) >= KNOWN_WORDS:
                     known.clear()
                 mine = known[word] = tuple(self.terms[t][0] for t in terms_of(word) if t in self.terms)
             for t in mine:
@@ -144,7 +146,7 @@ class Model:
         key = tuple(sorted(counts.items()))
         found = self.results.get(key)
         if found is None:
-            if len(self.results) >= 50_000:
+            if len(self.results) >= KNOWN_VECTORS:
                 self.results.clear()
             found = self.results[key] = self.index.top(self.vector(counts), self.k)
         vote = self.vote(found)
@@ -162,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, terms:
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~is_held_out(F.col(id_col), HELD_OUT_PARTS))
     chosen = usable.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(examples)
     chosen = checkpoint(chosen)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "id")
+    texts = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "id")
     # of texts with the same two least word hashes one teaches: groups of copies would make chance terms look telling
     w = F.split(F.lower("text"), r"\s+")
     least = {"least0": F.array_min(F.transform(w, lambda x: F.xxhash64(x, F.lit(0)))), "least1": F.array_min(F.transform(w, lambda x: F.xxhash64(x, F.lit(1))))}
@@ -219,7 +221,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             evidence = [[dict(zip(("doc_id", "cosine", "label"), e, strict=True)) for e in found] for _, found in pairs]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array([s for s, _ in pairs], pa.float64()), pa.array(evidence, kind)], names=schema.names)
 
-    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return bounded(docs).select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
