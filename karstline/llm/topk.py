@@ -94,22 +94,26 @@ def exact_top_k(
     vector in array order.  Equal scores of one id keep a rank each.
 
     Vectors and queries are dealt by hash into blocks of about ``block_vectors``
-    and ``block_queries``, so a task's memory doesn't grow with the table.
+    and ``block_queries``, so a task's memory doesn't grow with the table; copies of
+    a row are counted before the shuffle, so no id fills a block.
     """
     rows = whole_numbers(vectors, id_col, vector_col, scale)
     queries = rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.max("components").alias("components"))
+    # equal rows of one id are one row that counts up to k times: more copies change no answer
+    rows = rows.groupBy("vec_id", "components").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
     n = rows.count()
     v_blocks = max(1, -(-n // block_vectors))
     q_blocks = max(1, -(-n // (query_every * block_queries)))
-    of_v = F.pmod(F.xxhash64("vec_id"), F.lit(v_blocks)).cast("int")
+    of_v = F.pmod(F.xxhash64("vec_id", "components"), F.lit(v_blocks)).cast("int")
     of_q = F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select("vec_id", "components", of_v.alias("v"), every(q_blocks).alias("q"))
+    left = rows.select("vec_id", "components", "times", of_v.alias("v"), every(q_blocks).alias("q"))
     right = queries.select("vec_id", "components", of_q.alias("q"), every(v_blocks).alias("v"))
 
     def search(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(block) and len(asked):
+            block = block.loc[block.index.repeat(block["times"])]
             size = max(max(map(len, f["components"])) for f in (block, asked))
 
             def matrix(frame):

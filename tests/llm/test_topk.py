@@ -48,6 +48,11 @@ def test_repeated_ids_and_clashing_columns(spark):
     assert answers(topk.exact_top_k(frame)) == {0: [(1, 3, 32768), (2, 3, 16384)]}
 
 
+def test_many_copies_of_one_row(spark):
+    rows = [(7, [1.0])] * 60 + [(100, [0.5])] * 3 + [(8, [2.0])]
+    assert answers(topk.exact_top_k(table(spark, rows))) == {100: [(1, 8, 65536), *[(r, 7, 32768) for r in range(2, 6)]]}
+
+
 def test_lists_are_left_early(monkeypatch):
     import numpy as np
 
