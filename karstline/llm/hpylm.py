@@ -114,9 +114,13 @@ class Bucket:
         self.sizes = [len(k) for k in keys]
         del unpacked
         keys = np.concatenate(keys)
-        dishes = np.unique(keys)
-        self.place = np.searchsorted(dishes, keys).astype(np.int32)
-        del keys
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.append(True, keys[1:] != keys[:-1])
+        dishes = keys[first]
+        self.place = np.empty(len(keys), np.int32)
+        self.place[order] = np.cumsum(first, dtype=np.int32) - 1
+        del keys, order, first
         self.word, self.context = dishes // CONTEXTS, dishes % CONTEXTS
         self.count = np.bincount(self.place[np.concatenate(train)], minlength=len(dishes)).astype(np.float64)
         self.word_count = np.bincount(self.word, self.count, len(self.words))
