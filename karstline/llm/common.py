@@ -77,6 +77,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slim(df: DataFrame, rows: int, a_part: int, least: int = 8) -> DataFrame:
+    """The same rows in as many partitions as their number asks for, not more than there are.
+
+    A small frame that comes out of a wide shuffle would write one small file for
+    each of its partitions in every later shuffle.
+    """
+    return df.coalesce(max(least, -(-rows // a_part)))
+
+
 def is_held_out(column, parts: int):
     """Whether crc32 of the id as text leaves 1 modulo ``parts`` (a null id does not)."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % F.lit(parts) == 1, F.lit(False))

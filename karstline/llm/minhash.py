@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karstline.llm.common import WordHashes, as_long, checkpoint, list_array, mix64, plain_words, read_table, small_batches
+from karstline.llm.common import WordHashes, as_long, bounded, checkpoint, list_array, mix64, plain_words, read_table, slim, small_batches
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -37,6 +37,8 @@ SLACK = 0.2
 #: Ids that are broadcast at most (24 bytes each, about); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: Edges, rows of buckets, and sets in one partition at most, where there are few.
+EDGES, BUCKET_ROWS, SETS = 250_000, 500_000, 10_000
 #: Places of the bitmap of a set.
 MARKS = 4096
 
@@ -146,23 +148,24 @@ def components(edges: DataFrame) -> DataFrame:
     def both(e: DataFrame) -> DataFrame:
         return e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def star(e: DataFrame, larger: bool) -> DataFrame:
+    def star(e: DataFrame, larger: bool, rows: int) -> DataFrame:
         near = both(e) if larger else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = near.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
+        least = slim(near.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least")), rows, EDGES)
         joined = near.join(least, "a")
         if larger:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         else:
             out = joined.select(F.col("b").alias("a"), F.col("least").alias("b")).unionAll(least.select("a", F.col("least").alias("b")))
-        return out.where("a != b").distinct()
+        return slim(slim(out.where("a != b"), rows, EDGES).distinct(), rows, EDGES)
 
     def state(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first())
 
     e = checkpoint(edges.select("a", "b").where("a != b").distinct())
     before = state(e)
+    e = slim(e, before[0], EDGES)
     while before[0]:
-        e = checkpoint(star(star(e, True), False))
+        e = checkpoint(star(star(e, True, before[0]), False, before[0]))
         now = state(e)
         if now == before:
             break
@@ -200,7 +203,7 @@ def near_duplicates(
     kept); rows that share an id are one member, linked to whatever any of them is
     linked to; equal texts are always linked.  Ids are whole numbers.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("__text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("__text"))
     base = checkpoint(sketches(rows, shingle_words, id_col, "__text"))
     part = base.where("id IS NOT NULL AND n_shingles > 0")
     by_set = part.groupBy("set_key").agg(F.min("id").alias("node"))
@@ -214,10 +217,12 @@ def near_duplicates(
     involved = multi.select("node").distinct()
     count = involved.count()
     if count:
+        multi = slim(multi, multi.count(), BUCKET_ROWS)
         involved = F.broadcast(involved) if count <= BROADCAST_IDS else involved
         sets = checkpoint(_sets(rows.join(involved.withColumnRenamed("node", id_col), id_col), shingle_words, id_col))
+        sets = slim(sets, count, SETS)
         traits = checkpoint(nodes.join(involved, "node").join(sets.select("node", "n", "marks"), "node"))
-        links = _linked(multi, traits, sets, percent)
+        links = _linked(multi, slim(traits, count, SETS), sets, percent)
 
     edges = members.where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     if links is not None:
