@@ -1,19 +1,27 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
 A text longer than ``chunk_chars`` is cut into chunks that overlap by
-``overlap_chars``.  Chunks are pre-tokenised in parallel Spark tasks, each from
-its own first character, wherever that lies inside a pre-token.  The pattern
-never looks behind, so once two neighbours both start a match at one place
-they go on alike: the chunks of a text are stitched there, and only then are
-the pieces encoded.  Decoding concatenates the raw bytes of the ids.
+``overlap_chars``.  Chunks are pre-tokenised each from its own first character,
+wherever that lies inside a pre-token.  The pattern never looks behind, so once
+two neighbours both start a match at one place they go on alike: the chunks of
+a text are stitched there, and only then are the pieces encoded.  The chunks of
+a text that has many go to different Spark tasks, those of others stay in the
+task that reads the text; what is done to them is the same.  Decoding
+concatenates the raw bytes of the ids.
+
+Matches are found by Python's engine, whose Unicode tables are not those of
+tiktoken's: characters that the two class otherwise are matched as a stand-in
+of the class that tiktoken's engine gives them.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -26,9 +34,11 @@ from pyspark.sql import types as T
 
 from karstline.llm.common import bounded, list_array, read_table, small_batches
 
-#: Shorter texts are one chunk: cutting them would move more than it spreads.
-CHUNK_CHARS = 65_536
-OVERLAP_CHARS = 1024
+#: Under the length of an ordinary document.
+CHUNK_CHARS = 1024
+OVERLAP_CHARS = 128
+#: Chunks of texts with more are dealt to other tasks: fewer would move more than they spread.
+DEAL_CHUNKS = 64
 #: A match's text can change what follows it by at most this many characters.
 LOOKAHEAD = 3
 VOCABULARY_LIMIT = 64 << 20
@@ -52,13 +62,37 @@ class Pieces(dict):
         return ids
 
 
+@cache
+def stand_ins(pattern: str) -> dict[int, int]:
+    """Characters that tiktoken's engine and Python's put in other classes of the pattern: a stand-in for each.
+
+    Both engines are asked for each class escape of the pattern; a stand-in is
+    a character that both put in the classes that tiktoken's puts the other in.
+    """
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    one_byte = {bytes([i]): i for i in range(256)}
+    theirs, own = np.zeros((2, 0x110000), np.int64)
+    for i, escape in enumerate(sorted(set(regex.findall(r"\\[pP]\{[^}]*\}|\\[pP]\w|\\[sSdDwW]", pattern)))):
+        core = tiktoken.Encoding("class", pat_str=escape, mergeable_ranks=one_byte, special_tokens={})
+        for classes, found in ((theirs, bytes(core.encode_ordinary(every)).decode()), (own, "".join(regex.findall(escape, every)))):
+            classes[np.frombuffer(found.encode("utf-32-le"), np.uint32)] |= 1 << i
+    agreed: dict[int, int] = {}
+    for c in np.flatnonzero(theirs == own).tolist():
+        if c > 0x7F and not 0xD800 <= c < 0xE000 and chr(c) not in pattern:
+            agreed.setdefault(int(theirs[c]), c)
+    return {c: agreed[int(theirs[c])] for c in np.flatnonzero(theirs != own).tolist()}
+
+
 class Codec:
     """A rank file and its pattern: pre-tokenise, encode pieces, decode ids."""
 
-    def __init__(self, rank_file: bytes, pattern: str):
+    def __init__(self, rank_file: bytes, pattern: str, others: dict[int, int]):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
         core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.find = regex.compile(pattern).findall
+        self.others = others
+        # beyond the first plane any character, as a set of single ones would be searched one by one
+        self.may_differ = re.compile(f"[{''.join(re.escape(chr(c)) for c in others if c < 0x10000)}\U00010000-\U0010FFFF]").search
         self.core = core._core_bpe
         self.pieces = Pieces(self.core.encode_single_piece)
         self.bytes_of = {i: b for b, i in ranks.items()}
@@ -68,15 +102,14 @@ class Codec:
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def pre_tokenise(self, text: str) -> list[str]:
-        return self.find(text)
+        if text.isascii() or not self.may_differ(text):
+            return self.find(text)
+        ends = list(accumulate(map(len, self.find(text.translate(self.others)))))
+        return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode_pieces(self, pieces: list[str]) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
 
-    def encode_whole(self, text: str) -> np.ndarray:
-        """Ids of a text that is one chunk: nothing to stitch, its pieces are encoded as they are matched."""
-        return np.frombuffer(self.core.encode_to_tiktoken_buffer(text, set()), np.uint32).astype(np.int32)
-
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids, one after another."""
         n = self.lengths[ids]
@@ -89,11 +122,11 @@ class Codec:
 _codecs: dict[bytes, Codec] = {}
 
 
-def codec(rank_file: bytes, pattern: str) -> Codec:
-    """One codec for each vocabulary and Python worker."""
+def codec(rank_file: bytes, pattern: str, others: dict[int, int] | None = None) -> Codec:
+    """One codec for each vocabulary and Python worker; ``others`` are the pattern's stand-ins if they are known."""
     key = hashlib.sha256(rank_file + pattern.encode()).digest()
     if key not in _codecs:
-        _codecs[key] = Codec(rank_file, pattern)
+        _codecs[key] = Codec(rank_file, pattern, stand_ins(pattern) if others is None else others)
     return _codecs[key]
 
 
@@ -107,21 +140,41 @@ def stitch(codec: Codec, chunks: list[tuple[int, str, np.ndarray]]) -> list[str]
     at = 0  # everything before is emitted
     start, text, lengths = chunks[0]
     bounds = start + np.concatenate([[0], np.cumsum(lengths)])
-    for following, (next_start, next_text, next_lengths) in enumerate(chunks[1:], 1):
+    following = 1
+    while following < len(chunks):
+        next_start, next_text, next_lengths = chunks[following]
+        following += 1
         next_bounds = next_start + np.concatenate([[0], np.cumsum(next_lengths)])
-        certain = bounds[(bounds >= at) & (bounds <= start + len(text) - LOOKAHEAD)]
-        common = np.intersect1d(certain[certain >= next_start], next_bounds, assume_unique=True)
+        first, end = np.searchsorted(bounds, at), np.searchsorted(bounds, start + len(text) - LOOKAHEAD, "right")
+        certain = bounds[first:end]
+        shared = certain[np.searchsorted(certain, next_start) :]
+        common = shared[np.isin(shared, next_bounds[: np.searchsorted(next_bounds, start + len(text), "right")])]
         cut = int(common[0]) if len(common) else int(certain[-1]) if len(certain) else at
-        own = bounds[(bounds >= at) & (bounds <= cut)]
-        out += [text[a - start : b - start] for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
+        own = bounds[first : np.searchsorted(bounds, cut, "right")].tolist()
+        out += [text[a - start : b - start] for a, b in pairwise(own)]
         if len(common):
             at, start, text, bounds = cut, next_start, next_text, next_bounds
         else:
-            text = text[cut - start :] + next_text[start + len(text) - next_start :]
+            parts = [text[cut - start :], next_text[start + len(text) - next_start :]]
+            size, end = sum(map(len, parts)), next_start + len(next_text)
+            # a run over many chunks doubles each time, or it would be matched again with each of them
+            goal = 2 * size
+            while size < goal and following < len(chunks):
+                next_start, next_text, _ = chunks[following]
+                following += 1
+                parts.append(next_text[end - next_start :])
+                size, end = size + len(parts[-1]), next_start + len(next_text)
+            text = "".join(parts)
             at = start = cut
             bounds = start + np.concatenate([[0], np.cumsum([len(p) for p in codec.pre_tokenise(text)])]).astype(np.int64)
-    own = bounds[bounds >= at].tolist()
-    return out + [text[a - start : b - start] for a, b in zip(own[:-1], own[1:], strict=True)]
+    own = bounds[np.searchsorted(bounds, at) :].tolist()
+    return out + [text[a - start : b - start] for a, b in pairwise(own)]
+
+
+def chunks_of(text: str, chunk_chars: int, overlap_chars: int) -> list[tuple[int, str]]:
+    """A text's chunks ``(start, chunk)``."""
+    step = chunk_chars - overlap_chars
+    return [(at, text[at : at + chunk_chars]) for at in range(0, max(1, len(text) - overlap_chars), step)]
 
 
 def rank_file(path: str) -> bytes:
@@ -135,31 +188,38 @@ def rank_file(path: str) -> bytes:
 
 def encode(
     docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text",
-    chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS,
+    chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, deal_chunks: int = DEAL_CHUNKS,
 ) -> DataFrame:
     """Ids of every whole text: ``(id_col, ids array<int>)``, a row for each input row.
 
     A null or empty text has no ids; a null or repeated id is kept as it is;
-    equal long texts are encoded once; columns other than the two are left out,
+    equal texts of over ``deal_chunks`` chunks are encoded once; columns other than the two are left out,
     whatever their names.  Special tokens are ordinary text.
     """
     if not 0 < overlap_chars < chunk_chars:
         raise ValueError("overlap_chars must be over 0 and under chunk_chars")
-    shared = docs.sparkSession.sparkContext.broadcast(rank_file(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast((rank_file(vocabulary), pattern, stand_ins(pattern)))
     kind = docs.schema[id_col].dataType
     out = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     rows = bounded(docs).select(F.col(id_col), F.col(text_col).alias("__text"))
-    is_long = F.coalesce(F.length("__text"), F.lit(0)) > chunk_chars
+    step = chunk_chars - overlap_chars
+    is_long = F.coalesce(F.length("__text"), F.lit(0)) > overlap_chars + step * deal_chunks
+
+    def lengths_of(own, chunk):
+        return np.fromiter(map(len, own.pre_tokenise(chunk)), np.int32)
+
+    def encode_here(own, text):
+        chunks = chunks_of(text, chunk_chars, overlap_chars)
+        return np.array(own.encode_pieces(stitch(own, [(at, c, lengths_of(own, c)) for at, c in chunks])), np.int32)
 
     def encode_short(batches):
-        own = codec(shared.value, pattern)
+        own = codec(*shared.value)
         for b in small_batches(batches):
-            ids = [own.encode_whole(t) if t else np.empty(0, np.int32) for t in b.column(1).to_pylist()]
+            ids = [encode_here(own, t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), list_array(np.concatenate(ids), [len(x) for x in ids], pa.int32())], names=[id_col, "ids"])
 
     short = rows.where(~is_long).mapInArrow(encode_short, out)
 
-    step = chunk_chars - overlap_chars
     keyed = rows.where(is_long).withColumn("__key", F.sha2("__text", 256))
     starts = F.sequence(F.lit(0), F.ceil((F.length("__text") - overlap_chars) / step).cast("int") - 1)
     chunks = (
@@ -170,13 +230,13 @@ def encode(
     )
 
     def pre_tokenise(batches):
-        own = codec(shared.value, pattern)
+        own = codec(*shared.value)
         for b in small_batches(batches):
-            lengths = [np.fromiter(map(len, own.pre_tokenise(t)), np.int32) for t in b.column(2).to_pylist()]
+            lengths = [lengths_of(own, t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, list_array(np.concatenate(lengths), [len(x) for x in lengths], pa.int32())], names=["__key", "k", "chunk", "lengths"])
 
     def join_chunks(group: pd.DataFrame) -> pd.DataFrame:
-        own = codec(shared.value, pattern)
+        own = codec(*shared.value)
         group = group.sort_values("k")
         parts = [(k * step, c, np.asarray(n, np.int64)) for k, c, n in zip(group["k"], group["chunk"], group["lengths"], strict=True)]
         return pd.DataFrame({"__key": [group["__key"].iloc[0]], "ids": [own.encode_pieces(stitch(own, parts))]})
@@ -188,13 +248,13 @@ def encode(
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, *, ids_col: str = "ids") -> DataFrame:
     """Adds ``decoded binary``, the bytes of all ids one after another; null ids give null."""
-    shared = encoded.sparkSession.sparkContext.broadcast(rank_file(vocabulary))
+    shared = encoded.sparkSession.sparkContext.broadcast((rank_file(vocabulary), pattern, stand_ins(pattern)))
     rest = [c for c in encoded.columns if c != "decoded"]
     schema = T.StructType([encoded.schema[c] for c in rest] + [T.StructField("decoded", T.BinaryType())])
     place = rest.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        own = codec(shared.value, pattern)
+        own = codec(*shared.value)
         for b in small_batches(batches):
             ids = b.column(place)
             texts = [own.decode(ids[i].values.to_numpy()) if ids[i].is_valid else None for i in range(len(ids))]

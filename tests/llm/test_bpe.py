@@ -37,5 +37,18 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark, docs):
     assert {r.decoded_sha256 for r in rows if r.doc_id} == {hashlib.sha256(long.encode()).hexdigest()}
 
 
+def test_newer_characters_and_ordinary_lengths_are_cut_alike(spark, docs):
+    others = "".join(map(chr, bpe.stand_ins(PATTERN)))
+    for text in (f"a{c}1 {c}b" for c in others):
+        assert CODEC.encode_pieces(CODEC.pre_tokenise(text)) == PLAIN.encode_ordinary(text)
+    ordinary = "plain words, don't they " * 80
+    cases = [f"a{others[0]}b {others[0]}1{others[-1]}", *[ordinary + f"x{c}y{c}1 " * 30 for c in others[::3000]], ordinary, "q" * 9000 + " end"]
+    for options in ({}, {"chunk_chars": 50, "overlap_chars": 12}, {"deal_chunks": 1}):
+        for row in bpe.encode(docs(cases), PATH, PATTERN, **options).collect():
+            assert row.ids == PLAIN.encode_ordinary(cases[row.doc_id])
+    chunks = bpe.chunks_of(ordinary, bpe.CHUNK_CHARS, bpe.OVERLAP_CHARS)
+    assert len(chunks) > 1 and "".join(c[0 if not at else bpe.OVERLAP_CHARS :] for at, c in chunks) == ordinary
+
+
 def test_empty_table(spark, docs):
     assert bpe.digests(docs([]), PATH, PATTERN).collect() == []
