@@ -154,7 +154,7 @@ def features(block: Block, text: str) -> list[str]:
     found.add(f"links:{min(4, 5 * block.linked // max(1, sum(map(len, block.parts))))}")
     found.add(f"stops:{min(4, text.count('. ') + text.count('! ') + text.count('? ') + (text[-1] in '.!?'))}")
     found.add(f"commas:{min(3, text.count(','))}")
-    found.add(f"digits:{min(3, 8 * sum(c.isdigit() for c in text[:400]) // min(n, 400))}")
+    found.add(f"digits:{min(3, 8 * sum(c.isdigit() for c in text) // n)}")
     for name, sign in (("copyright", "©"), ("bar", "|"), ("at", "@"), ("arrow", "»")):
         if sign in text:
             found.add(name)

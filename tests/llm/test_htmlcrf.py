@@ -67,3 +67,9 @@ def test_extract_odd_rows(spark, field):
     assert got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"} and len(got) == 5
     assert sorted(r.n_chars for r in got)[:4] == [0, 0, 0, 0] and max(got, key=lambda r: r.n_chars).text.count("\n") == 2999
     assert h.extract(frame.limit(0), field).collect() == []
+
+
+def test_digits_are_counted_over_the_whole_block():
+    late = "word " * 100 + "1234567890 " * 100 + "end"
+    (block,) = h.blocks_of(f"<p>{late}</p>")
+    assert "digits:3" in h.features(block, block.text)
