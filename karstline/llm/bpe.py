@@ -5,9 +5,9 @@ A text longer than ``chunk_chars`` is cut into chunks that overlap by
 wherever that lies inside a pre-token.  The pattern never looks behind, so once
 two neighbours both start a match at one place they go on alike: the chunks of
 a text are stitched there, and only then are the pieces encoded.  The chunks of
-a text that has many go to different Spark tasks, those of others stay in the
-task that reads the text; what is done to them is the same.  Decoding
-concatenates the raw bytes of the ids.
+a text that has many go to different Spark tasks, and so do parcels of its
+stitched pieces; those of others stay in the task that reads the text; what is
+done to them is the same.  Decoding concatenates the raw bytes of the ids.
 
 Matches are found by Python's engine, whose Unicode tables are not those of
 tiktoken's: characters that the two class otherwise are matched as a stand-in
@@ -19,7 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import accumulate, chain, pairwise
 
@@ -39,6 +39,8 @@ CHUNK_CHARS = 1024
 OVERLAP_CHARS = 128
 #: Chunks of texts with more are dealt to other tasks: fewer would move more than they spread.
 DEAL_CHUNKS = 64
+#: Characters of stitched pieces that are encoded in one task, about.
+PARCEL_CHARS = 1 << 16
 #: A match's text can change what follows it by at most this many characters.
 LOOKAHEAD = 3
 VOCABULARY_LIMIT = 64 << 20
@@ -107,7 +109,7 @@ class Codec:
         ends = list(accumulate(map(len, self.find(text.translate(self.others)))))
         return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def encode_pieces(self, pieces: list[str]) -> list[int]:
+    def encode_pieces(self, pieces: Iterable[str]) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -130,13 +132,12 @@ def codec(rank_file: bytes, pattern: str, others: dict[int, int] | None = None)
     return _codecs[key]
 
 
-def stitch(codec: Codec, chunks: list[tuple[int, str, np.ndarray]]) -> list[str]:
-    """Pre-tokens of a whole text from its chunks ``(start, text, lengths of matches)``.
+def stitch(codec: Codec, chunks: list[tuple[int, str, np.ndarray]]) -> Iterator[list[str]]:
+    """Pre-tokens of a whole text, in order, from its chunks ``(start, text, lengths of matches)``.
 
     Where no common boundary lies in an overlap (a run longer than it), the two
     chunks are joined and matched again from the last boundary that is certain.
     """
-    out: list[str] = []
     at = 0  # everything before is emitted
     start, text, lengths = chunks[0]
     bounds = start + np.concatenate([[0], np.cumsum(lengths)])
@@ -151,7 +152,7 @@ def stitch(codec: Codec, chunks: list[tuple[int, str, np.ndarray]]) -> list[str]
         common = shared[np.isin(shared, next_bounds[: np.searchsorted(next_bounds, start + len(text), "right")])]
         cut = int(common[0]) if len(common) else int(certain[-1]) if len(certain) else at
         own = bounds[first : np.searchsorted(bounds, cut, "right")].tolist()
-        out += [text[a - start : b - start] for a, b in pairwise(own)]
+        yield [text[a - start : b - start] for a, b in pairwise(own)]
         if len(common):
             at, start, text, bounds = cut, next_start, next_text, next_bounds
         else:
@@ -168,7 +169,7 @@ def stitch(codec: Codec, chunks: list[tuple[int, str, np.ndarray]]) -> list[str]
             at = start = cut
             bounds = start + np.concatenate([[0], np.cumsum([len(p) for p in codec.pre_tokenise(text)])]).astype(np.int64)
     own = bounds[np.searchsorted(bounds, at) :].tolist()
-    return out + [text[a - start : b - start] for a, b in pairwise(own)]
+    yield [text[a - start : b - start] for a, b in pairwise(own)]
 
 
 def chunks_of(text: str, chunk_chars: int, overlap_chars: int) -> list[tuple[int, str]]:
@@ -210,7 +211,8 @@ def encode(
 
     def encode_here(own, text):
         chunks = chunks_of(text, chunk_chars, overlap_chars)
-        return np.array(own.encode_pieces(stitch(own, [(at, c, lengths_of(own, c)) for at, c in chunks])), np.int32)
+        pieces = chain.from_iterable(stitch(own, [(at, c, lengths_of(own, c)) for at, c in chunks]))
+        return np.array(own.encode_pieces(pieces), np.int32)
 
     def encode_short(batches):
         own = codec(*shared.value)
@@ -239,10 +241,33 @@ def encode(
         own = codec(*shared.value)
         group = group.sort_values("k")
         parts = [(k * step, c, np.asarray(n, np.int64)) for k, c, n in zip(group["k"], group["chunk"], group["lengths"], strict=True)]
-        return pd.DataFrame({"__key": [group["__key"].iloc[0]], "ids": [own.encode_pieces(stitch(own, parts))]})
+        parcels, held, size = [], [], 0
+        for pieces in stitch(own, parts):
+            held += pieces
+            size += sum(map(len, pieces))
+            if size >= PARCEL_CHARS:
+                parcels.append(held)
+                held, size = [], 0
+        parcels.append(held)
+        return pd.DataFrame({
+            "__key": group["__key"].iloc[0], "k": np.arange(len(parcels), dtype=np.int32),
+            "parcel": ["".join(p) for p in parcels], "lengths": [np.fromiter(map(len, p), np.int32) for p in parcels],
+        })
+
+    def encode_parcels(batches):
+        own = codec(*shared.value)
+        for b in small_batches(batches):
+            ids = []
+            for parcel, lengths in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                ends = [0, *accumulate(lengths)]
+                ids.append(np.array(own.encode_pieces([parcel[x:y] for x, y in pairwise(ends)]), np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), list_array(np.concatenate(ids), [len(x) for x in ids], pa.int32())], names=["__key", "k", "ids"])
 
     matched = chunks.mapInArrow(pre_tokenise, "__key string, k int, chunk string, lengths array<int>")
-    joined = matched.groupBy("__key").applyInPandas(join_chunks, "__key string, ids array<int>")
+    parcels = matched.groupBy("__key").applyInPandas(join_chunks, "__key string, k int, parcel string, lengths array<int>")
+    # the result is one array a text, so its ids meet again; the work on them is done by then
+    done = parcels.repartition("__key", "k").mapInArrow(encode_parcels, "__key string, k int, ids array<int>")
+    joined = done.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts")).select("__key", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
     return short.unionByName(keyed.select(id_col, "__key").join(joined, "__key").select(id_col, "ids"))
 
 

@@ -52,3 +52,12 @@ def test_newer_characters_and_ordinary_lengths_are_cut_alike(spark, docs):
 
 def test_empty_table(spark, docs):
     assert bpe.digests(docs([]), PATH, PATTERN).collect() == []
+
+
+def test_long_texts_are_stitched_and_encoded_in_parcels(spark, docs):
+    rng = random.Random(5)
+    words = ["plain", "words", "été", "日本", "12", "\n", "don't"]
+    mixed = " ".join(rng.choice(words) for _ in range(60_000))
+    cases = [mixed, "x" * 1_000_000 + " end", " " * 100_000 + "z", mixed[:90_000] + "q" * 5000 + mixed[:90_000]]
+    for row in bpe.encode(docs(cases), PATH, PATTERN).collect():
+        assert row.ids == PLAIN.encode_ordinary(cases[row.doc_id])
