@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch between the JVM and Python.
@@ -133,4 +133,23 @@ def list_array(flat: np.ndarray, lengths: list[int] | np.ndarray, kind: pa.DataT
 
 
 def fresh_name(stem: str) -> str:
-    return f"{stem}_{uuid.uuid4().hex[:12]}"
+    return f"__{stem}_{uuid.uuid4().hex[:12]}"
+
+
+def named(column: str) -> Column:
+    """The column of this very name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def free_names(taken: Iterable[str], *stems: str) -> list[str]:
+    """Names for added columns: the stems, each with the least number behind it that no column has, if one has it.
+
+    Names are compared as Spark does, without regard to case.
+    """
+    used = {c.lower() for c in taken}
+    out = []
+    for stem in stems:
+        name = next(n for n in (stem, *(f"{stem}_{i}" for i in range(1, len(used) + 2))) if n.lower() not in used)
+        used.add(name.lower())
+        out.append(name)
+    return out

@@ -1,35 +1,41 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Lines of all documents that lie within ``max_edits`` (0 or 1) edits of code
-points are found by joining hashed variants: a line emits itself and every
-string with one character deleted, equal variants are joined, the edit
-distance is verified, and the earliest line stays.
-
-All variants of all lines would be hundreds of times the corpus, so they are
-emitted only where a partner can exist.  One edit leaves all blocks of a line
-but one as they are: lines that share no "all but one block" key have no
-partner.  Two such sieves (2 blocks, then 8) lose no pair; behind them a line
-emits the variants of the one block in which the edit must lie.
+Lines of all documents that lie within ``max_edits`` edits of code points are
+found by joining hashed variants: a line emits itself and the strings that
+edits leave of it, equal variants are joined, the edit distance is verified,
+and the earliest line stays.
+
+All variants of all lines would be hundreds of times the corpus, so for one
+edit they are emitted only where a partner can exist.  One edit leaves all
+blocks of a line but one as they are: lines that share no "all but one block"
+key have no partner.  Two such sieves (2 blocks, then 8) lose no pair; behind
+them a line emits the variants of the one block in which the edit must lie.
+More edits go without sieves, at a cost of the line's length to their number.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karstline.llm.common import bounded, checkpoint, read_table, small_batches
+from karstline.llm.common import bounded, checkpoint, free_names, fresh_name, named, read_table, small_batches
 
 MAX_EDITS = 1
-#: Lines of fewer code points are left alone: headings and list marks say nothing about copying.
-MIN_CHARS = 20
+#: Every line takes part; a caller may leave shorter ones alone.
+MIN_CHARS = 0
 COARSE, FINE = 2, 8
-#: Rows of keys or line numbers that are broadcast at most (under 64 MB); more go through a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of keys or line numbers that are broadcast at most (64 bytes each at most); more go through a shuffle.
+BROADCAST_ROWS = 100_000
+#: Variants that a task holds at once, about.
+VARIANT_ROWS = 100_000
+#: What of a line's place is compared, in this order.
+PLACE = ("id", "h", "line")
 
 
 def _hash(*parts) -> int:
@@ -68,14 +74,46 @@ def variants(line: str, key: int, longest: int, middle: str) -> Iterator[tuple[i
             yield _hash("d", key, less), False
 
 
-def within_one(a: str, b: str) -> bool:
-    """Whether the edit distance of code points is at most 1."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
+def within(a: str, b: str, bound: int) -> bool:
+    """Whether the edit distance of code points is at most ``bound``: the band of the table that can hold it."""
+    if abs(len(a) - len(b)) > bound:
         return False
-    at = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return a[at + (len(a) == len(b)) :] == b[at + 1 :]
+    at = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[at:], b[at:]
+    row = {j: j for j in range(min(len(b), bound) + 1)}
+    far = bound + 1
+    for i, x in enumerate(a, 1):
+        now = {}
+        for j in range(max(0, i - bound), min(len(b), i + bound) + 1):
+            best = min(row.get(j, far), now.get(j - 1, far)) + 1
+            if j:
+                best = min(best, row.get(j - 1, far) + (x != b[j - 1]))
+            now[j] = best
+        row = now
+        if min(row.values()) > bound:
+            return False
+    return row.get(len(b), far) <= bound
+
+
+def edited(line: str, edits: int) -> Iterator[tuple[int, int, int]]:
+    """``(hash, marks, deletions)`` of all that up to ``edits`` marks and deletions leave of a line.
+
+    A mark stands for any one character.  Two lines with a variant of m marks in
+    common, left by d and e deletions, are m + d + e edits apart at most, and any
+    two lines so far apart have one.
+    """
+    seen = set()
+    for n in range(min(edits, len(line)) + 1):
+        for places in combinations(range(len(line)), n):
+            for marks in product((True, False), repeat=n):
+                parts, last = [], 0
+                for at, mark in zip(places, marks, strict=True):
+                    parts += [line[last:at], "\ud800" if mark else ""]
+                    last = at + 1
+                found = (_hash("v", "".join(parts) + line[last:]), sum(marks), n - sum(marks))
+                if found not in seen:
+                    seen.add(found)
+                    yield found
 
 
 def _fits(frame: DataFrame) -> DataFrame:
@@ -83,99 +121,127 @@ def _fits(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
-def _occurrences(docs: DataFrame, min_chars: int, max_edits: int) -> DataFrame:
-    """``(id, line, h1, h2, keys)`` of every line that is long enough."""
+def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+
+
+def _columns(b: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
+def _occurrences(rows: DataFrame, min_chars: int, keyed: bool) -> DataFrame:
+    """``(id, h, line, h1, h2, keys)`` of every line that is long enough."""
 
     def run(batches):
         for b in small_batches(batches):
-            ids, numbers, digests, keys = [], [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, hashes, numbers, digests, keys = [], [], [], [], []
+            for i, h, text in _columns(b):
                 for k, line in enumerate(text.split("\n")):
                     if len(line) >= min_chars:
                         ids.append(i)
+                        hashes.append(h)
                         numbers.append(k)
                         digests.append(hashlib.blake2b(line.encode(), digest_size=16).digest())
-                        keys.append([x[0] for x in block_keys(line, COARSE)] if max_edits else [])
+                        keys.append([x[0] for x in block_keys(line, COARSE)] if keyed else [])
             h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "line", "h1", "h2", "keys"])
+            columns = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "line", "h1", "h2", "keys"])
 
-    return docs.mapInArrow(run, "id long, line int, h1 long, h2 long, keys array<long>")
+    return rows.mapInArrow(run, "id long, h long, line int, h1 long, h2 long, keys array<long>")
 
 
-def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """The lines at ``(id, line, h1, h2)``, read from the documents again."""
-    wanted = places.groupBy("id").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("wanted"))
+def _texts(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """``(id, h, line, h1, h2, text)``: the lines at these places, read from the documents again."""
+    wanted = places.groupBy("id", "h").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("wanted"))
     # an array of a document's own lines; the count of lines bounds a broadcast
     wanted = F.broadcast(wanted) if places.count() <= BROADCAST_ROWS else wanted
 
     def run(batches):
         for b in small_batches(batches):
             out = []
-            for i, text, want in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            for i, h, text, want in _columns(b):
                 lines = text.split("\n")
-                for w in want:
-                    # rows that share an id: only the row that has the line
-                    if w["line"] < len(lines):
-                        d = np.frombuffer(hashlib.blake2b(lines[w["line"]].encode(), digest_size=16).digest(), np.int64)
-                        if (d[0], d[1]) == (w["h1"], w["h2"]):
-                            out.append((i, w["line"], w["h1"], w["h2"], lines[w["line"]]))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["id", "line", "h1", "h2", "text"])
+                out += [(i, h, w["line"], w["h1"], w["h2"], lines[w["line"]]) for w in want]
+            yield _batch(out, id=pa.int64(), h=pa.int64(), line=pa.int32(), h1=pa.int64(), h2=pa.int64(), text=pa.string())
 
-    found = docs.join(wanted, "id").select("id", "text", "wanted")
-    return found.mapInArrow(run, "id long, line int, h1 long, h2 long, text string").dropDuplicates(["h1", "h2"])
+    found = rows.join(wanted, ["id", "h"]).select("id", "h", "text", "wanted")
+    # rows that share id and text give their lines more than once
+    return found.mapInArrow(run, "id long, h long, line int, h1 long, h2 long, text string").dropDuplicates(["h1", "h2"])
 
 
-def _near(docs: DataFrame, occurrences: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``(id, line)`` of lines with an earlier line one edit away."""
+def _near(rows: DataFrame, occurrences: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``(id, h, line)`` of lines with an earlier line one edit away."""
     keyed = occurrences.select("h1", "h2", F.explode("keys").alias("key"))
     shared = checkpoint(keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("key"))
     candidates = keyed.join(_fits(shared), "key", "left_semi").select("h1", "h2").distinct()
-    places = checkpoint(firsts.join(candidates, ["h1", "h2"], "left_semi").select("first.id", "first.line", "h1", "h2"))
-    lines = checkpoint(_texts(docs, places))
+    places = checkpoint(firsts.join(candidates, ["h1", "h2"], "left_semi").select("first.*", "h1", "h2"))
+    lines = checkpoint(_texts(rows, places))
 
     def fine(batches):
         for b in small_batches(batches):
-            rows = [(h1, h2, *k) for h1, h2, t in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True) for k in block_keys(t, FINE)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:4], (pa.int64(),) * 3 + (pa.int32(),), strict=True)], names=["h1", "h2", "key", "longest"])
+            yield _batch([(h1, h2, k[0]) for h1, h2, t in _columns(b) for k in block_keys(t, FINE)], h1=pa.int64(), h2=pa.int64(), key=pa.int64())
 
-    keyed = lines.select("h1", "h2", "text").mapInArrow(fine, "h1 long, h2 long, key long, longest int")
+    keyed = lines.select("h1", "h2", "text").mapInArrow(fine, "h1 long, h2 long, key long")
     shared = checkpoint(keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("key"))
+    # at most 16 keys a line, so collect_set is bounded by the line itself
     wanted = keyed.join(_fits(shared), "key", "left_semi").groupBy("h1", "h2").agg(F.collect_set("key").alias("keys"))
 
     def neighbourhood(batches):
         for b in small_batches(batches):
             out = []
-            for i, n, h1, h2, text, keys in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+            for *place, text, keys in _columns(b):
                 keys = set(keys)
                 for key, longest, middle in block_keys(text, FINE):
                     if key in keys:
-                        out += [(i, n, h1, h2, v, s) for v, s in variants(text, key, longest, middle)]
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "line", "h1", "h2", "variant", "shorter"])
+                        out += [(*place, v, s) for v, s in variants(text, key, longest, middle)]
+            yield _batch(out, id=pa.int64(), h=pa.int64(), line=pa.int32(), variant=pa.int64(), shorter=pa.bool_())
 
-    # at most 16 keys a line, so collect_set is bounded by the line itself
-    emitted = lines.join(wanted, ["h1", "h2"]).select("id", "line", "h1", "h2", "text", "keys")
-    emitted = checkpoint(emitted.mapInArrow(neighbourhood, "id long, line int, h1 long, h2 long, variant long, shorter boolean"))
-    place = F.struct("id", "line", "h1", "h2")
+    emitted = lines.join(wanted, ["h1", "h2"]).select(*PLACE, "text", "keys")
+    emitted = checkpoint(emitted.mapInArrow(neighbourhood, "id long, h long, line int, variant long, shorter boolean"))
+    place = F.struct(*PLACE)
     long = emitted.where("NOT shorter").select("variant", place.alias("late"))
     earliest = long.groupBy("variant").agg(F.min("late").alias("early"), F.count("*").alias("n")).where("n > 1").drop("n")
     same_length = long.join(earliest, "variant").where("late != early").select("early", "late")
     short = emitted.where("shorter").select("variant", place.alias("other")).distinct()
     off_by_one = long.join(short, "variant").select(F.least("late", "other").alias("early"), F.greatest("late", "other").alias("late"))
-    pairs = same_length.unionAll(off_by_one).distinct()
+    return _verified(same_length.unionAll(off_by_one).distinct(), lines, 1)
+
+
+def _near_by_many(rows: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
+    """``(id, h, line)`` of lines with an earlier line up to ``edits`` edits away, from all variants of all lines."""
+    lines = checkpoint(_texts(rows, firsts.select("first.*", "h1", "h2")))
+
+    def neighbourhood(batches):
+        for b in small_batches(batches):
+            out = []
+            for *place, text in _columns(b):
+                for found in edited(text, edits):
+                    out.append((*place, *found))
+                    if len(out) >= VARIANT_ROWS:
+                        yield _batch(out, id=pa.int64(), h=pa.int64(), line=pa.int32(), variant=pa.int64(), marks=pa.int32(), gone=pa.int32())
+                        out = []
+            yield _batch(out, id=pa.int64(), h=pa.int64(), line=pa.int32(), variant=pa.int64(), marks=pa.int32(), gone=pa.int32())
+
+    emitted = lines.select(*PLACE, "text").mapInArrow(neighbourhood, "id long, h long, line int, variant long, marks int, gone int")
+    emitted = checkpoint(emitted.select("variant", "marks", "gone", F.struct(*PLACE).alias("late")))
+    # the earliest line of a variant for each number of deletions that leaves enough edits to the other
+    firsts_of = emitted.groupBy("variant").agg(*[F.min(F.when(F.col("gone") <= d, F.col("late"))).alias(f"early{d}") for d in range(edits + 1)])
+    early = F.coalesce(*[F.when(F.col("marks") + F.col("gone") == edits - d, F.col(f"early{d}")) for d in range(edits + 1)])
+    pairs = emitted.join(firsts_of, "variant").select(early.alias("early"), "late").where("early < late").distinct()
+    return _verified(pairs, lines, edits)
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """``(id, h, line)`` of the later lines of those pairs that are within ``edits``."""
 
     def verify(batches):
         for b in small_batches(batches):
-            ok = [within_one(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["id", "line"])
+            yield _batch([place for *place, x, y in _columns(b) if within(x, y, edits)], id=pa.int64(), h=pa.int64(), line=pa.int32())
 
-    of = lambda name: lines.select(F.struct("id", "line", "h1", "h2").alias(name), F.col("text").alias(f"{name}_text"))
-    told = pairs.join(of("early"), "early").join(of("late"), "late").select("late.id", "late.line", "early_text", "late_text")
-    return told.mapInArrow(verify, "id long, line int").distinct()
+    of = lambda name: lines.select(F.struct(*PLACE).alias(name), F.col("text").alias(f"{name}_text"))
+    told = pairs.join(of("early"), "early").join(of("late"), "late").select("late.*", "early_text", "late_text")
+    return told.mapInArrow(verify, "id long, h long, line int").distinct()
 
 
 def dedup_lines(
@@ -183,39 +249,61 @@ def dedup_lines(
 ) -> DataFrame:
     """Drops every line that has an earlier line within ``max_edits`` edits.
 
-    A line's place is (id, number of the line); equal lines, and lines one edit
-    apart, are dropped wherever an earlier one stands anywhere in the table, whether
-    or not that one stays itself.  Lines under ``min_chars`` code points stay.
-    Returns all columns of ``docs`` with the text's remaining lines joined by
+    A line's place is (id, hash of the text, number of the line), so rows that
+    share an id have places of their own; of rows that share id and text one is
+    earlier than the others, which lose all their lines.  Lines are dropped wherever
+    an earlier one stands anywhere in the table, whether or not that one stays
+    itself.  Empty lines are lines like any; those under ``min_chars`` code points
+    stay.  Returns all columns of ``docs`` with the text's remaining lines joined by
     ``\\n``, after them ``n_lines int`` and ``dropped array<int>`` (line numbers,
-    sorted).  A null text stays null with no lines; rows with a null id stay as
-    they are and are earlier than nothing; rows that share an id share its places:
-    a line at one number of both is earlier in neither, and what is dropped is
-    dropped from both.  Ids are whole numbers.
+    sorted), under other names where ``docs`` has columns of these names
+    (``free_names``).  A null text stays null with no lines; rows with a null id
+    stay as they are and are earlier than nothing.  Ids are whole numbers.
     """
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits is 0 or 1")
-    rows = bounded(docs).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    occurrences = checkpoint(_occurrences(rows, min_chars, max_edits))
-    firsts = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("first"), F.max(F.struct("id", "line")).alias("last"))
-    firsts = checkpoint(firsts)
+    if max_edits < 0:
+        raise ValueError("max_edits is 0 or more")
+    ident, text = named(id_col).cast("long"), named(text_col)
+    rows = bounded(docs).select(ident.alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    occurrences = checkpoint(_occurrences(rows, min_chars, max_edits == 1))
+    place = F.struct(*PLACE)
+    firsts = checkpoint(occurrences.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")))
     again = _fits(firsts.where("first != last").select("h1", "h2", "first"))
-    dropped = occurrences.join(again, ["h1", "h2"]).where(F.struct("id", "line") != F.col("first")).select("id", "line")
-    if max_edits:
+    dropped = occurrences.join(again, ["h1", "h2"]).where(place != F.col("first")).select(*PLACE)
+    firsts = firsts.select("h1", "h2", "first")
+    if max_edits == 1:
         dropped = dropped.unionAll(_near(rows, occurrences, firsts))
+    elif max_edits:
+        dropped = dropped.unionAll(_near_by_many(rows, firsts, max_edits))
     dropped = checkpoint(dropped.distinct())
-    by_id = dropped.groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_list("line")).alias("__dropped"))
-    by_id = F.broadcast(by_id) if dropped.count() <= BROADCAST_ROWS else by_id
-    rest = [c for c in docs.columns if c not in ("n_lines", "dropped")]
-    joined = docs.select(*rest).join(by_id, F.col(id_col).cast("long") == F.col("__id"), "left")
-    lines = F.split(text_col, "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__dropped", i)), "\n")
-    out = [F.when(F.col("__dropped").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in rest]
-    return joined.select(*out, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce("__dropped", F.array().cast("array<int>")).alias("dropped"))
+
+    i, h, gone = fresh_name("id"), fresh_name("h"), fresh_name("gone")
+    by_row = dropped.groupBy(F.col("id").alias(i), F.col("h").alias(h)).agg(F.array_sort(F.collect_list("line")).alias(gone))
+    by_row = F.broadcast(by_row) if dropped.count() <= BROADCAST_ROWS else by_row
+    keyed = docs.select("*", ident.alias(i), F.xxhash64(text).alias(h))
+    several = rows.groupBy(F.col("id").alias(i), F.col("h").alias(h)).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    several = checkpoint(several)
+    copies = None
+    if not several.isEmpty():
+        # the numbers of rows are set once and for all in the checkpoint; one row of each is the first
+        number = fresh_name("number")
+        several = _fits(several)
+        repeated = checkpoint(keyed.join(several, [i, h], "left_semi").withColumn(number, F.monotonically_increasing_id()))
+        first = repeated.groupBy(i, h).agg(F.min(number).alias(number)).select(number)
+        copies = repeated.join(first, number, "left_anti").drop(number)
+        keyed = keyed.join(several, [i, h], "left_anti").unionByName(repeated.join(first, number, "left_semi").drop(number))
+    lines = F.split(text, "\n", -1)
+    joined = keyed.join(by_row, [i, h], "left")
+    if copies is not None:
+        every = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda x: F.length(F.get(lines, x)) >= min_chars)
+        joined = joined.unionByName(copies.withColumn(gone, every))
+    left = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(named(gone), k)), "\n")
+    out = [F.when(named(gone).isNull(), named(c)).otherwise(left).alias(c) if c == text_col else named(c) for c in docs.columns]
+    n_lines, drops = free_names(docs.columns, "n_lines", "dropped")
+    return joined.select(*out, F.coalesce(F.size(lines), F.lit(0)).alias(n_lines), F.coalesce(named(gone), F.array().cast("array<int>")).alias(drops))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = dedup_lines(read_table(spark, sf_dir, "documents"))
+    done = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
         "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
@@ -225,7 +313,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated lines go; a document of nothing but repeated lines stays, with an empty text."""
     done = dedup_lines(docs)
-    own = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    own = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else named(c) for c in docs.columns]
     return done.select(*own)
 
 
@@ -234,7 +322,7 @@ WITH l AS (
   SELECT doc_id, text, CAST(i - 1 AS BIGINT) AS line, parts[i] AS s
   FROM (SELECT doc_id, text, parts, unnest(range(1, len(parts) + 1)) AS i
         FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))),
-f AS (SELECT s, length(s) AS n, min((doc_id, line)) AS first FROM l WHERE length(s) >= 20 GROUP BY s),
+f AS (SELECT s, length(s) AS n, min((doc_id, line)) AS first FROM l GROUP BY s),
 m AS (SELECT s, n, first, unnest([n, n + 1]) AS m FROM f),
 k AS (SELECT s, n, first, m, 0 AS side, left(s, CAST(m // 2 AS BIGINT)) AS part FROM m
       UNION ALL SELECT s, n, first, m, 1, right(s, CAST(m - m // 2 AS BIGINT)) FROM m),
