@@ -11,7 +11,8 @@ bucket links its nodes to one leader, and only nodes that are still in
 different components of one bucket are compared with each other: first by bit
 counts of the signatures, then by a bitmap of the shingles, which bounds the
 difference of two sets from below and so loses no link.  The pairs that both
-leave, nearly all of them links, are confirmed.
+leave, nearly all of them links, are confirmed.  Large buckets are compared in
+tiles, so no task holds more of them than a tile.
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from karstline.llm.common import WordHashes, as_long, bounded, checkpoint, list_array, mix64, plain_words, read_table, slim, small_batches
+from karstline.llm.common import WordHashes, as_long, bounded, checkpoint, fresh_name, list_array, mix64, named, plain_words, read_table, slim, small_batches
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -34,8 +34,12 @@ BANDS, ROWS = 32, 5
 BITS = 2
 #: The estimate's standard deviation at 0.8 is 0.038; pairs under the threshold by over five of them go unconfirmed.
 SLACK = 0.2
-#: Ids that are broadcast at most (24 bytes each, about); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Ids or nodes that are broadcast at most (64 bytes each at most); more are joined by a shuffle.
+BROADCAST_IDS = 200_000
+#: A key with more than this part of the rows is joined by a broadcast: there are fewer such keys than HOT_PARTS.
+HOT_PARTS = 1000
+#: Nodes of one bucket that are compared with each other in one task, about.
+TILE_NODES = 4000
 
 #: Edges, rows of buckets, and sets in one partition at most, where there are few.
 EDGES, BUCKET_ROWS, SETS = 250_000, 500_000, 10_000
@@ -114,29 +118,43 @@ def may_link(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Co
     return unlike * (100 + percent) <= (n_a + n_b) * (100 - percent)
 
 
-def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, n_shingles, set_key, buckets, bits)`` of each row; an empty set has null buckets and bits."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("n_shingles long, set_key binary, buckets array<long>, bits array<long>").fields])
+def sketches(rows: DataFrame, size: int) -> DataFrame:
+    """``(id, h, n_shingles, k1, k2, buckets, bits)`` of each row ``(id, h, text)``; k1 and k2 stand for the set, an empty one has no buckets."""
 
     def run(batches):
         hashes = WordHashes()
         for b in small_batches(batches):
-            n, keys, buckets, bits = [], [], [], []
-            for text in b.column(1).to_pylist():
+            n, keys, buckets, bits = [], [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for text in b.column(2).to_pylist():
                 found = shingles(plain_words(text), size, hashes)
                 n.append(len(found))
-                keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                keys.append(set_key(found))
                 if len(found):
                     least = minima(found)
                     buckets.append(band_keys(least))
                     bits.append(packed_bits(least))
-                else:
-                    buckets.append(np.empty(0, np.int64))
-                    bits.append(np.empty(0, np.int64))
-            lists = [list_array(np.concatenate(x), [len(v) for v in x], pa.int64()) for x in (buckets, bits)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *lists], names=schema.names)
+            k = np.array(keys, np.int64).reshape(-1, 2)
+            lists = [list_array(np.concatenate(x), np.where(np.array(n, np.int64) > 0, size, 0), pa.int64()) for x, size in ((buckets, BANDS), (bits, _LONGS))]
+            columns = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "n_shingles", "k1", "k2", "buckets", "bits"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return rows.mapInArrow(run, "id long, h long, n_shingles long, k1 long, k2 long, buckets array<long>, bits array<long>")
+
+
+def set_key(found: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row a key and in ``times`` the key's number of rows.
+
+    The keys of over 1 / HOT_PARTS of the ``total`` rows, fewer than HOT_PARTS, are
+    broadcast, so no key's rows meet in one task.
+    """
+    is_hot = F.col("times") * HOT_PARTS > total
+    hot, cold = table.where(is_hot).drop("times"), table.where(~is_hot).drop("times")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -159,7 +177,8 @@ def components(edges: DataFrame) -> DataFrame:
         return slim(slim(out.where("a != b"), rows, EDGES).distinct(), rows, EDGES)
 
     def state(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first())
+        # the number of edges and 128 bits of their hashes: two rounds that agree in them are one set of edges
+        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", F.lit(1), "a"))).first())
 
     e = checkpoint(edges.select("a", "b").where("a != b").distinct())
     before = state(e)
@@ -201,50 +220,69 @@ def near_duplicates(
     (least id of the class), kept boolean``.  Null or empty texts have no shingles
     and are classes of their own; a null id is in no class (component_id null,
     kept); rows that share an id are one member, linked to whatever any of them is
-    linked to; equal texts are always linked.  Ids are whole numbers.
+    linked to; equal texts are always linked.  Copies of a row, however many, count
+    as one before anything is compared.  Ids are whole numbers; other columns are
+    left out, whatever their names.
     """
-    rows = bounded(docs).select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("__text"))
-    base = checkpoint(sketches(rows, shingle_words, id_col, "__text"))
+    text = named(text_col)
+    rows = bounded(docs).select(named(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"))
+    base = checkpoint(sketches(rows, shingle_words))
     part = base.where("id IS NOT NULL AND n_shingles > 0")
-    by_set = part.groupBy("set_key").agg(F.min("id").alias("node"))
-    members = part.select("id", "set_key").join(by_set, "set_key").select("id", "node").distinct()
-    nodes = part.join(by_set.withColumnRenamed("node", "id"), ["set_key", "id"]).select(F.col("id").alias("node"), "buckets", "bits")
+    total, ids = part.agg(F.count("*"), F.countDistinct("id")).first()
+    # one node a set, with the place of one row that has it; the numbers are fixed by the checkpoint
+    by_set = part.groupBy("k1", "k2").agg(F.min(F.struct("id", "h")).alias("rep"), F.count("*").alias("times"), F.first("buckets").alias("buckets"), F.first("bits").alias("bits"))
+    nodes = checkpoint(by_set.select(F.monotonically_increasing_id().alias("node"), "rep.id", "rep.h", "k1", "k2", "times", "buckets", "bits"))
     placed = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("__last")).where("leader != __last").drop("__last")
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
     multi = checkpoint(placed.join(shared, "bucket"))
 
-    links = None
+    edges = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     involved = multi.select("node").distinct()
     count = involved.count()
     if count:
         multi = slim(multi, multi.count(), BUCKET_ROWS)
-        involved = F.broadcast(involved) if count <= BROADCAST_IDS else involved
-        sets = checkpoint(_sets(rows.join(involved.withColumnRenamed("node", id_col), id_col), shingle_words, id_col))
+        chosen = nodes.join(F.broadcast(involved) if count <= BROADCAST_IDS else involved, "node", "left_semi")
+        places = chosen.select("node", "id", "h", "k1", "k2")
+        sets = _sets(rows.join(F.broadcast(places) if count <= BROADCAST_IDS else places, ["id", "h"]), shingle_words)
+        sets = checkpoint(sets.dropDuplicates(["node"]) if ids < total else sets)
         sets = slim(sets, count, SETS)
-        traits = checkpoint(nodes.join(involved, "node").join(sets.select("node", "n", "marks"), "node"))
+        traits = checkpoint(chosen.select("node", "buckets", "bits").join(sets.select("node", "n", "marks"), "node"))
         links = _linked(multi, slim(traits, count, SETS), sets, percent)
-
-    edges = members.where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    if links is not None:
         edges = edges.unionAll(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    roots = components(edges)
-    return (
-        base.select("id", "n_shingles").join(roots, base["id"] == roots["node"], "left")
-        .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
-    )
-
+    if ids < total:
+        # an id with several sets joins them
+        members = looked_up(part.select("id", "k1", "k2").distinct(), nodes.select("k1", "k2", "times", "node"), ["k1", "k2"], total).select("id", "node")
+        least = members.groupBy("id").agg(F.min("node").alias("b"), F.count("*").alias("times")).where("times > 1")
+        edges = edges.unionAll(looked_up(members, least, ["id"], total).select(F.col("node").alias("a"), "b"))
+
+    roots = nodes.select("node", "id", "k1", "k2", "times").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = checkpoint(roots)
+    least = roots.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("times"))
+    known = looked_up(roots.select("k1", "k2", "root", F.col("times").alias("rows")), least, ["root"], total).withColumnRenamed("rows", "times")
+    found = looked_up(part.select("id", "n_shingles", "k1", "k2"), known.drop("root"), ["k1", "k2"], total)
+    alone = base.where("id IS NULL OR n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
+    out = found.select("id", "n_shingles", "component_id").unionAll(alone)
+    if ids < total:
+        # an empty text of an id that others share belongs to the id's class
+        classes = found.groupBy("id").agg(F.min("component_id").alias("component_id"))
+        alone = alone.drop("component_id").join(classes, "id", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+        out = found.select("id", "n_shingles", "component_id").unionAll(alone)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _sets(rows: DataFrame, size: int) -> DataFrame:
+    """``(node, n, hashes, marks)`` of the sets of rows ``(node, k1, k2, text)``."""
 
-def _sets(rows: DataFrame, size: int, id_col: str) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
         for b in small_batches(batches):
-            found = [shingles(plain_words(t), size, hashes) for t in b.column(1).to_pylist()]
-            marks = [marks_of(x) for x in found]
-            columns = [pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), list_array(np.concatenate(marks), [len(x) for x in marks], pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["node", "n", "hashes", "marks"])
+            found = [shingles(plain_words(t), size, hashes) for t in b.column(3).to_pylist()]
+            marks = [np.empty(0, np.int64), *map(marks_of, found)]
+            right = pa.array([(k == set_key(x)).all() for *k, x in zip(b.column(1).to_numpy(), b.column(2).to_numpy(), found, strict=True)], pa.bool_())
+            columns = [b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), list_array(np.concatenate(marks), [MARKS // 64] * len(found), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "hashes", "marks"]).filter(right)
 
-    return rows.select(id_col, "__text").mapInArrow(run, "node long, n long, hashes binary, marks array<long>")
+    return rows.select("node", "k1", "k2", "text").mapInArrow(run, "node long, n long, hashes binary, marks array<long>")
 
 
 def _linked(multi: DataFrame, traits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -279,13 +317,18 @@ def _linked(multi: DataFrame, traits: DataFrame, sets: DataFrame, percent: int)
 
     # nodes of one bucket that are still in different components: each pair once, in the first band that they share
     rest = labelled(multi.select("bucket", "node"), "node", "root")
-    several = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-    rest = rest.join(several, "bucket").join(traits, "node").withColumn("band", F.array_position("buckets", F.col("bucket")))
-    rest = checkpoint(rest)
-    a, b = (side(rest, s, "root", "buckets", "band", "bucket") for s in "ab")
+    several = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x != y").select("bucket", "size")
+    tiles = F.ceil(F.col("size") / TILE_NODES).cast("int")
+    rest = rest.join(several, "bucket").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    rest = checkpoint(rest.join(traits, "node").withColumn("band", F.array_position("buckets", F.col("bucket"))).drop("size"))
+    # a large bucket is dealt into tiles, and each pair of tiles meets in a task of its own
+    other_tile = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other_tile")
+    a = side(rest.select("*", other_tile), "a", "root", "buckets", "band", "bucket", "tile", "other_tile")
+    b = side(rest.select("*", other_tile), "b", "root", "buckets", "band", "bucket", "tile", "other_tile")
     once = F.array_position(F.zip_with("buckets_a", "buckets_b", lambda x, y: x == y), True) == F.col("band_a")
     other = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-    pairs = a.join(b, (F.col("bucket_a") == F.col("bucket_b")) & other & close & once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    meet = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("tile_a") == F.col("other_tile_b")) & (F.col("other_tile_a") == F.col("tile_b"))
+    pairs = a.join(b, meet & other & close & once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     return extended(confirmed(pairs, sets, percent))
 
 
@@ -294,10 +337,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class of near-duplicates the document with the least id stays."""
-    gone = checkpoint(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti").select(*docs.columns)
+    """Pipeline stage: of each class of near-duplicates the rows with the least id stay."""
+    gone = fresh_name("gone")
+    ids = checkpoint(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, named("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 ORACLE = r"""

@@ -92,3 +92,35 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in m.components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
+
+
+def test_many_copies_of_near_duplicate_rows(spark, docs):
+    words = [f"x{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(8, a)] * 1000 + [(6, b)] * 1000 + [(7, b)] + [(9, "one of its own kind")] * 500
+    got = m.near_duplicates(docs(rows)).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(8, 6), (6, 6), (7, 6), (9, 9)}
+
+
+def test_one_id_with_many_texts(spark, docs):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(30)) for _ in range(300)]
+    rows = [(0, t) for t in texts] + [(1 + i, t if i % 2 else t + " more") for i, t in enumerate(texts)] + [(0, ""), (1000, "")]
+    got = {(r.doc_id, r.component_id) for r in m.near_duplicates(docs(rows)).collect()}
+    want = brute(rows, 5, 80)
+    assert got == set(want.items())
+
+
+def test_tiles_lose_no_link(spark, docs, monkeypatch):
+    monkeypatch.setattr(m, "TILE_NODES", 2)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(80):  # texts around the threshold, many in a bucket and few linked
+        text = list(base)
+        for at in rng.sample(range(120), rng.choice([2, 3, 4])):
+            text[at] = f"v{i}_{at}"
+        rows.append((i, " ".join(text)))
+    want = brute(rows, 5, 80)
+    assert 1 < len(set(want.values())) < 80
+    assert {r.doc_id: r.component_id for r in m.near_duplicates(docs(rows)).collect()} == want
