@@ -1,18 +1,23 @@
 """Toxicity by votes of the nearest labelled examples.
 
-Examples and documents are TF-IDF vectors over terms that tell the labels
-apart (words, and their first bytes, which hold stems together).  The nearest
-examples by exact cosine come from a block-max inverted index: each posting
-list keeps the greatest weight of every block of examples, blocks are visited
-by falling bound, and the search ends when no bound reaches the k-th cosine.
-Votes are weighted by distance and calibrated by isotonic regression on the
-examples themselves, each left out in turn.
+Examples and documents are TF-IDF vectors over all words of the examples.
+Document frequencies are counted over all documents.  Plain TF-IDF is deaf to
+the labels, so each word's weight is also multiplied by how far its presence
+moves the odds of the label (``label_weights``); no word is left out.
+
+The nearest examples by exact cosine come from a block-max inverted index.
+Words that few examples have keep posting lists, words that many have keep the
+greatest weight of every block of examples besides their weights.  The lists
+are summed first; a block is visited only where its best sum and the block
+maxima of the other words could still reach the k-th best.  Components are
+whole numbers of 2**-24, so cosines are exact and the same in any order.  Votes
+are weighted by distance and calibrated by isotonic regression on the examples
+themselves, each left out in turn.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import insort
 from collections import Counter
 
 import numpy as np
@@ -21,64 +26,75 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karstline.llm.common import alnum_words, bounded, checkpoint, is_held_out, read_table, small_batches
+from karstline.llm.common import alnum_words, bounded, checkpoint, free_names, fresh_name, is_held_out, named, read_table, small_batches
 
-#: Labelled rows that are fitted at most, those with the least hash of their id.
-EXAMPLES = 8000
-#: Terms at most, those with the greatest chi-squared; all need MIN_CHI2, MIN_DF examples and this label rate among them.
-TERMS = 4096
-MIN_CHI2, MIN_DF, MIN_RATE = 40.0, 8, 0.5
-PREFIXES = (4, 5, 6, 7, 8)
+#: Labelled texts that are fitted at most, those with the least hash of their id, and their bytes in all.
+EXAMPLES, EXAMPLE_BYTES = 8000, 24 << 20
 NEIGHBOURS = 15
-BLOCK = 128
+#: Examples in a block; words that more than a DENSE-th of the examples have keep block maxima.
+BLOCK, DENSE = 64, 16
+#: An example whose plain TF-IDF cosine to an earlier one is this or more teaches nothing new.
+COPY = 0.9
 THRESHOLD = 0.7
 HELD_OUT_PARTS = 3
-#: Words and vectors whose terms and neighbours a worker remembers at most.
-KNOWN_WORDS, KNOWN_VECTORS = 150_000, 4000
-
-
-def terms_of(word: bytes) -> list[bytes]:
-    return [word, *(b"^" + word[:n] for n in PREFIXES if len(word) > n)]
+#: Components of vectors are multiples of 1 / UNIT; products of two and their sums stay under 2**53.
+UNIT = float(1 << 24)
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over unit vectors ``[(term, weight), ...]``."""
-
-    def __init__(self, vectors: list[list[tuple[int, float]]], block: int = BLOCK):
-        self.block, self.n, self.blocks = block, len(vectors), -(-len(vectors) // block)
-        lists: dict[int, list] = {}
-        for i, vector in enumerate(vectors):
-            for t, w in vector:
-                lists.setdefault(t, []).append((i, w))
-        self.lists = {}
-        for t, postings in lists.items():
-            ids = np.array([i for i, _ in postings])
-            weights = np.array([w for _, w in postings])
-            held, first = np.unique(ids // block, return_index=True)
-            ends = np.append(first[1:], len(ids))
-            self.lists[t] = (ids % block, weights, held, np.maximum.reduceat(weights, first), {b: slice(x, y) for b, x, y in zip(held.tolist(), first.tolist(), ends.tolist(), strict=True)})
-
-    def top(self, vector: list[tuple[int, float]], k: int) -> list[tuple[float, int]]:
-        """``(-cosine, example)`` of the k nearest with a cosine over 0, ties to the smaller example."""
-        found = [(self.lists[t], w) for t, w in vector if t in self.lists]
-        if not found:
-            return []
-        bound = np.zeros(self.blocks)
-        for (_, _, held, most, _), w in found:
-            bound[held] += w * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-9:
-                break
-            score = np.zeros(self.block)
-            for (ids, weights, _, _, at), w in found:
-                part = at.get(b)
-                if part is not None:
-                    score[ids[part]] += w * weights[part]
-            for i in np.flatnonzero(score >= max(1e-15, -best[-1][0] if len(best) == k else 0)).tolist():
-                insort(best, (-float(score[i]), b * self.block + i))
-                del best[k:]
-        return best
+    """Exact top-k inner products of vectors ``(terms, weights)`` with weights of whole numbers, none under 0."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
+        self.n, self.block, self.blocks = len(vectors), block, -(-len(vectors) // block)
+        self.width = self.blocks * block
+        term = np.concatenate([v[0] for v in vectors]) if vectors else np.empty(0, np.int64)
+        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.empty(0)
+        place = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
+        dense = np.flatnonzero(np.bincount(term, minlength=terms) * DENSE > self.n)
+        self.row = np.full(terms, -1, np.int32)
+        self.row[dense] = np.arange(len(dense))
+        many = self.row[term] >= 0
+        self.dense = np.zeros((len(dense), self.width))
+        self.dense[self.row[term[many]], place[many]] = weight[many]
+        self.most = self.dense.reshape(len(dense), self.blocks, block).max(axis=2, initial=0.0)
+        term, weight, place = term[~many], weight[~many], place[~many]
+        order = np.lexsort((place, term))
+        self.place, self.weight = place[order].astype(np.int32), weight[order]
+        self.count = np.bincount(term, minlength=terms)
+        self.start = np.cumsum(self.count) - self.count
+
+    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: float = 1.0) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query ``(examples, products)`` of the k greatest products from ``least`` on, ties to the smaller example."""
+        nothing = np.empty(0, np.int64), np.empty(0)
+        if not self.n or not queries:
+            return [nothing] * len(queries)
+        m, k = len(queries), min(k, self.n)
+        term, weight = (np.concatenate([q[i] for q in queries]) for i in (0, 1))
+        query = np.repeat(np.arange(m), [len(q[0]) for q in queries])
+        row = self.row[term]
+        many = row >= 0
+        asked = np.zeros((m, len(self.dense)))
+        asked[query[many], row[many]] = weight[many]
+        term, weight, query = term[~many], weight[~many], query[~many]
+        count = self.count[term]
+        ends = np.cumsum(count)
+        at = np.repeat(self.start[term] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+        sums = np.bincount(np.repeat(query * self.width, count) + self.place[at], np.repeat(weight, count) * self.weight[at], m * self.width).reshape(m, self.width)
+        # products are at least these sums, so the k-th of them bounds the k-th product from below
+        kth = np.maximum(np.partition(sums, self.width - k, axis=1)[:, self.width - k], least)
+        bound = sums.reshape(m, self.blocks, self.block).max(axis=2) + asked @ self.most
+        visit = bound >= kth[:, None]
+        products = np.zeros((m, self.width))
+        for b in np.flatnonzero(visit.any(axis=0)).tolist():
+            rows, cols = np.flatnonzero(visit[:, b]), slice(b * self.block, (b + 1) * self.block)
+            products[rows, cols] = sums[rows, cols] + asked[rows] @ self.dense[:, cols]
+        kth = np.maximum(np.partition(products, self.width - k, axis=1)[:, self.width - k], least)
+        out = []
+        for p, x in zip(products, kth.tolist(), strict=True):
+            found = np.flatnonzero(p >= x)
+            found = found[np.argsort(-p[found], kind="stable")[:k]]
+            out.append((found, p[found]))
+        return out
 
 
 def isotonic(votes: list[float], labels: list[int]) -> tuple[list[float], list[float]]:
@@ -94,138 +110,173 @@ def isotonic(votes: list[float], labels: list[int]) -> tuple[list[float], list[f
     return xs, list(np.maximum.accumulate(ys)) if ys else []
 
 
+def label_weights(having: np.ndarray, toxic: np.ndarray, examples: int, positives: int) -> np.ndarray:
+    """How far a word's presence moves the odds of the label: the absolute log of the ratio, over 0 for every word."""
+    among = (toxic + 0.5) / (positives + 1)
+    apart = (having - toxic + 0.5) / (examples - positives + 1)
+    return np.abs(np.log(among / apart)) + 1e-6
+
+
 class Model:
-    """Terms, index, calibration and the rate among texts without any term."""
-
-    def __init__(self, terms: dict[bytes, tuple[int, float]], examples: list[tuple], k: int = NEIGHBOURS):
-        """``terms``: number and idf; ``examples``: id, label and counts by term number."""
-        self.terms, self.k = terms, k
-        self.idf = {t: w for t, w in terms.values()}
-        held = [(i, y, v) for i, y, counts in sorted(examples) if (v := self.vector(counts))]
-        rest = [y for _, y, counts in examples if not counts]
-        self.ids, self.labels = [i for i, _, _ in held], [y for _, y, _ in held]
-        self.index = BlockMaxIndex([v for _, _, v in held])
-        self.none = (sum(rest) + 0.5) / (len(rest) + 1)
-        votes = [self.vote(self.others(v, n)) for n, (_, _, v) in enumerate(held)]
-        told = [(v, y) for v, y in zip(votes, self.labels, strict=True) if v is not None]
+    """Words, their weights, index, calibration, and the label rate of all examples."""
+
+    BATCH = 256
+
+    def __init__(self, examples: list[tuple[int, int, dict[bytes, int]]], frequencies: dict[bytes, int] | None = None, documents: int | None = None, k: int = NEIGHBOURS):
+        """``examples``: id, label and counts by word; ``frequencies``: of ``documents`` documents, how many have a word (the examples' by default)."""
+        self.k = k
+        examples = sorted((x for x in examples if x[2]), key=lambda x: (x[0], sorted(x[2].items())))
+        self.words = {w: i for i, w in enumerate(sorted({w for _, _, c in examples for w in c}))}
+        if frequencies is None:
+            documents, frequencies = len(examples), Counter(w for _, _, c in examples for w in c)
+        n = np.array([frequencies.get(w, 1) for w in self.words], np.float64)
+        plain = np.log((1 + documents) / (1 + n)) + 1
+        vectors = [(*self.counted(c), i, y) for i, y, c in examples]
+        # examples whose heaviest words agree share blocks, which keeps the block maxima low
+        heaviest = [int(t[np.argmax(self.weighted(t, c, plain)[1])]) for t, c, _, _ in vectors]
+        vectors = [v for _, _, v in sorted(zip(heaviest, range(len(vectors)), vectors, strict=True))]
+        vectors = self.without_copies(vectors, plain)
+        having, toxic = np.zeros(len(self.words)), np.zeros(len(self.words))
+        for t, _, _, y in vectors:
+            having[t] += 1
+            toxic[t] += y
+        self.ids, self.labels = np.array([v[2] for v in vectors], np.int64), np.array([v[3] for v in vectors], np.float64)
+        self.weights = plain * label_weights(having, toxic, len(vectors), int(self.labels.sum()))
+        self.rate = float((self.labels.sum() + 0.5) / (len(vectors) + 1))
+        weighted = [self.weighted(t, c, self.weights) for t, c, _, _ in vectors]
+        self.index = BlockMaxIndex(weighted, len(self.words))
+        votes = []
+        for at in range(0, len(weighted), self.BATCH):
+            for own, (found, p) in enumerate(self.index.top(weighted[at : at + self.BATCH], k + 1), at):
+                votes.append(self.vote(found[found != own][:k], p[found != own][:k]))
+        told = [(v, y) for v, y in zip(votes, self.labels.tolist(), strict=True) if v is not None]
         self.xs, self.ys = isotonic([v for v, _ in told], [y for _, y in told])
-        self.known: dict = {}
-        self.results: dict = {}
-
-    def vector(self, counts: dict[int, int]) -> list[tuple[int, float]]:
-        w = [(t, (1 + math.log(n)) * self.idf[t]) for t, n in sorted(counts.items())]
-        norm = math.sqrt(sum(x * x for _, x in w))
-        return [(t, x / norm) for t, x in w]
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        known = self.known
-        for word, n in Counter(alnum_words(text)).items():
-            mine = known.get(word)
-            if mine is None:
-                if len(known) >= KNOWN_WORDS:
-                    known.clear()
-                mine = known[word] = tuple(self.terms[t][0] for t in terms_of(word) if t in self.terms)
-            for t in mine:
-                out[t] = out.get(t, 0) + n
+
+    def without_copies(self, vectors: list, plain: np.ndarray) -> list:
+        """Of examples at ``COPY`` or more to an earlier one that stays, only that one."""
+        weighted = [self.weighted(t, c, plain) for t, c, _, _ in vectors]
+        index, gone = BlockMaxIndex(weighted, len(self.words)), np.zeros(len(vectors), bool)
+        for at in range(0, len(vectors), self.BATCH):
+            for own, (found, _) in enumerate(index.top(weighted[at : at + self.BATCH], len(vectors), COPY * UNIT * UNIT), at):
+                gone[own] = bool((~gone[found[found < own]]).any())
+        return [v for v, out in zip(vectors, gone.tolist(), strict=True) if not out]
+
+    def counted(self, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of the words that examples have."""
+        words = self.words
+        pairs = sorted((words[w], n) for w, n in counts.items() if w in words)
+        return np.array([t for t, _ in pairs], np.int64), np.array([n for _, n in pairs], np.float64)
+
+    @staticmethod
+    def weighted(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * weights[terms]
+        return terms, np.rint(w * (UNIT / np.sqrt(w @ w))) if len(w) else w
+
+    def vote(self, found: np.ndarray, products: np.ndarray) -> float | None:
+        """Share of the label among the nearest, each weighted by the inverse of its distance."""
+        if not len(found):
+            return None
+        near = 1 / (1.05 - products / (UNIT * UNIT))
+        return float((near * self.labels[found]).sum() / near.sum())
+
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float, int]]]]:
+        """Calibrated score and evidence ``(example id, cosine, label)`` of each text, from the text alone."""
+        out = []
+        for at in range(0, len(texts), self.BATCH):
+            queries = [self.weighted(*self.counted(Counter(alnum_words(t))), self.weights) for t in texts[at : at + self.BATCH]]
+            for found, p in self.index.top(queries, self.k):
+                vote = self.vote(found, p)
+                score = self.rate if vote is None else float(np.interp(vote, self.xs, self.ys))
+                out.append((score, list(zip(self.ids[found].tolist(), (p / (UNIT * UNIT)).tolist(), self.labels[found].astype(int).tolist(), strict=True))))
         return out
 
-    def others(self, vector, own: int) -> list[tuple[float, int]]:
-        """The k nearest of the other examples, for calibration."""
-        return [x for x in self.index.top(vector, self.k + 1) if x[1] != own][: self.k]
-
-    def vote(self, nearest) -> float | None:
-        weights = [1 / (1.05 + s) for s, _ in nearest]
-        return sum(w * self.labels[i] for w, (_, i) in zip(weights, nearest, strict=True)) / sum(weights) if nearest else None
-
-    def score(self, text: str | None) -> tuple[float, list[tuple]]:
-        """Calibrated score and evidence ``(example id, cosine, label)``, from the text alone."""
-        counts = self.counts(text)
-        if not counts:
-            return self.none, []
-        key = tuple(sorted(counts.items()))
-        found = self.results.get(key)
-        if found is None:
-            if len(self.results) >= KNOWN_VECTORS:
-                self.results.clear()
-            found = self.results[key] = self.index.top(self.vector(counts), self.k)
-        vote = self.vote(found)
-        score = self.none if vote is None or not self.xs else float(np.interp(vote, self.xs, self.ys))
-        return score, [(self.ids[i], -s, self.labels[i]) for s, i in found]
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from at most ``examples`` labelled rows outside the held-out third.
-
-    Of rows that share an id the greatest label counts and each text is an
-    example, of near copies the one with the least id; null ids, labels or texts teach nothing.  The driver receives the
-    chosen terms and the examples' counts of them, both bounded by parameters.
-    """
-    usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~is_held_out(F.col(id_col), HELD_OUT_PARTS))
-    chosen = usable.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(examples)
-    chosen = checkpoint(chosen)
-    texts = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "id")
-    # of texts with the same two least word hashes one teaches: groups of copies would make chance terms look telling
-    w = F.split(F.lower("text"), r"\s+")
-    least = {"least0": F.array_min(F.transform(w, lambda x: F.xxhash64(x, F.lit(0)))), "least1": F.array_min(F.transform(w, lambda x: F.xxhash64(x, F.lit(1))))}
-    one = texts.withColumns(least).groupBy("least0", "least1").agg(F.min(F.struct("id", "label", "text")).alias("one"))
-    texts = checkpoint(one.select("one.id", "one.label", "one.text"))
-    total, toxic = texts.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-
-    def distinct_terms(batches):
-        for b in small_batches(batches):
-            label, term = [], []
-            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = {t for w in set(alnum_words(text)) for t in terms_of(w)}
-                term += own
-                label += [y] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(term, pa.binary()), pa.array(label, pa.int32())], names=["term", "label"])
-
-    df = texts.select("label", "text").mapInArrow(distinct_terms, "term binary, label int").groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("y"))
-    a, n, big, y = F.col("y"), F.col("n"), F.lit(float(total)), F.lit(float(toxic))
-    chi2 = big * F.pow(a * (big - y - n + a) - (n - a) * (y - a), 2) / (n * (big - n) * y * (big - y) + 1e-9)
-    picked = df.where((n >= MIN_DF) & (a >= MIN_RATE * n)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(terms).collect()
-    table = {bytes(r.term): (i, math.log((1 + total) / (1 + r.n)) + 1) for i, r in enumerate(picked)}
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def counted(batches):
-        own = Model(shared.value, [])
-        for b in small_batches(batches):
-            counts = [list(own.counts(t).items()) for t in b.column(2).to_pylist()]
-            kind = pa.list_(pa.struct([("t", pa.int32()), ("n", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[{"t": t, "n": n} for t, n in c] for c in counts], kind)], names=["id", "label", "counts"])
 
-    rows = texts.mapInArrow(counted, "id long, label int, counts array<struct<t:int,n:int>>").collect()
-    return Model(table, [(r.id, r.label, {c.t: c.n for c in r.counts}) for r in sorted(rows, key=lambda r: (r.id, r.counts))], k)
+def document_frequencies(docs: DataFrame, words: list[bytes], text_col: str) -> tuple[dict[bytes, int], int]:
+    """Of all documents with a text, how many have each of these words, and how many there are."""
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+
+    def run(batches):
+        number = shared.value
+        held, texts = np.zeros(len(number) + 1, np.int64), 0
+        for b in small_batches(batches):
+            for text in b.column(0).to_pylist():
+                if text is not None:
+                    texts += 1
+                    held[[number[w] for w in set(alnum_words(text)) if w in number]] += 1
+        held[-1] = texts
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[some])], names=["word", "n"])
+
+    counted = bounded(docs).select(named(text_col)).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    found = dict(zip(counted.column(0).to_pylist(), counted.column(1).to_pylist(), strict=True))
+    return {w: found[i] for i, w in enumerate(words) if i in found}, found.get(len(words), 0)
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES, example_bytes: int = EXAMPLE_BYTES, k: int = NEIGHBOURS,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+) -> Model:
+    """Learns from at most ``examples`` labelled texts outside the held-out third, ``example_bytes`` long in all.
+
+    They are those with the least hash of their id; a text that no longer fits into
+    ``example_bytes`` is passed over, never cut.  Of rows that share an id the greatest
+    label counts and each text is an example; equal texts are one, with the least id;
+    so are near copies (``COPY``).  Null ids, labels or texts and texts without words
+    teach nothing.  The driver receives the examples and the frequencies of their
+    words, which both parameters bound; frequencies are counted over all documents.
+    """
+    usable = labels.where(named(id_col).isNotNull() & named(label_col).isNotNull() & ~is_held_out(named(id_col), HELD_OUT_PARTS))
+    chosen = usable.groupBy(named(id_col).cast("long").alias("id")).agg(F.max(named(label_col)).cast("int").alias("label"))
+    chosen = checkpoint(chosen.orderBy(F.xxhash64("id"), "id").limit(examples))
+    texts = bounded(docs).select(named(id_col).cast("long").alias("id"), named(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "id")
+    one = texts.groupBy(F.sha2("text", 256).alias("key")).agg(F.min(F.struct("id", "label")).alias("one"), F.first("text").alias("text"))
+    one = checkpoint(one.select("key", "one.id", "one.label", "text").orderBy(F.xxhash64("id"), "id", "key").limit(examples))
+    sizes = one.select("key", F.octet_length("text").alias("size"), F.xxhash64("id").alias("place"), "id").collect()
+    left, fitting = example_bytes, []
+    for r in sorted(sizes, key=lambda r: (r.place, r.id, r.key)):
+        if r["size"] <= left:
+            left -= r["size"]
+            fitting.append(r.key)
+    if len(fitting) < len(sizes):
+        one = one.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in fitting], "key string")), "key", "left_semi")
+    table = one.select("id", "label", "text").toArrow()
+    taught = [(i, y, Counter(alnum_words(t))) for i, y, t in zip(*(table.column(c).to_pylist() for c in range(3)), strict=True)]
+    words = sorted({w for _, _, c in taught for w in c})
+    return Model(taught, *document_frequencies(docs, words, text_col), k)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Scores every whole text: a row for each input row, in no order.
 
     Returns ``id_col, score double (0 to 1), evidence array<struct<doc_id long,
-    cosine double, label int>>``, after all columns of ``docs`` if ``keep``.  A text without any term, null and empty ones too,
-    gets the label rate of such examples and no evidence.  Nothing but the text enters
-    a score, so equal texts have equal scores.  Ids are whole numbers; null and
-    repeated ids are scored like any.
+    cosine double, label int>>`` (nearest first), after all columns of ``docs`` if
+    ``keep``; the two have other names where those columns have these
+    (``free_names``).  A text without any word that an example has, null and empty
+    ones too, gets the label rate of the examples and no evidence.  Nothing but the
+    text enters a score, so equal texts have equal scores.  Ids are whole numbers;
+    null and repeated ids are scored like any.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if (keep or c == id_col) and c not in ("score", "evidence")]
-    added = T._parse_datatype_string("score double, evidence array<struct<doc_id:long,cosine:double,label:int>>").fields
-    schema = T.StructType([docs.schema[c] for c in kept] + added)
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+    kept = [c for c in docs.columns if keep or c == id_col]
+    added = free_names(kept, "score", "evidence")
+    kinds = T._parse_datatype_string("score double, evidence array<struct<doc_id:long,cosine:double,label:int>>").fields
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, f.dataType) for n, f in zip(added, kinds, strict=True)])
+    parts = {"doc_id": pa.int64(), "cosine": pa.float64(), "label": pa.int32()}
 
     def run(batches):
         own = shared.value
         for b in small_batches(batches):
-            pairs = [own.score(t) for t in b.column(len(kept)).to_pylist()]
-            evidence = [[dict(zip(("doc_id", "cosine", "label"), e, strict=True)) for e in found] for _, found in pairs]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array([s for s, _ in pairs], pa.float64()), pa.array(evidence, kind)], names=schema.names)
+            pairs = own.score(b.column(len(kept)).to_pylist())
+            flat = list(zip(*(e for _, found in pairs for e in found), strict=True)) or [[]] * 3
+            ends = np.cumsum([0, *(len(found) for _, found in pairs)])
+            evidence = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, parts.values(), strict=True)], names=list(parts)))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array([s for s, _ in pairs], pa.float64()), evidence], names=schema.names)
 
-    return bounded(docs).select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return bounded(docs).select(*map(named, kept), named(text_col).alias(fresh_name("text"))).mapInArrow(run, schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
     return scored.select("doc_id", is_held_out(F.col("doc_id"), HELD_OUT_PARTS).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
@@ -233,7 +284,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a score of ``THRESHOLD`` or more go."""
     scored = score(docs, fit(docs, read_table(spark, sf_dir, "labels")), keep=True)
-    return scored.where(F.col("score") < THRESHOLD).select(*docs.columns)
+    mine = free_names(docs.columns, "score", "evidence")[0]
+    return scored.where(named(mine) < THRESHOLD).select(*map(named, docs.columns))
 
 
 QUERIES = {"op5_toxicity": op5_toxicity}

@@ -1,12 +1,16 @@
 import math
 import random
+import zlib
+from collections import Counter
 
+import numpy as np
+import pytest
 from karstline.llm import toxicity as t
 
 
 def plain_top(vectors, query, k):
-    q = dict(query)
-    scores = [(-sum(w * q.get(term, 0.0) for term, w in v), i) for i, v in enumerate(vectors)]
+    q = dict(zip(*map(list, query), strict=True))
+    scores = [(-sum(w * q.get(term, 0) for term, w in zip(*map(list, v), strict=True)), i) for i, v in enumerate(vectors)]
     return sorted(s for s in scores if s[0] < 0)[:k]
 
 
@@ -14,17 +18,59 @@ def test_block_max_search_is_exact():
     rng = random.Random(1)
     vectors = []
     for _ in range(700):
-        raw = {rng.randrange(40): rng.choice([0.5, 1.0, 2.0]) for _ in range(rng.randrange(1, 6))}
+        raw = {int(300 * rng.random() ** 4): rng.choice([1, 2, 3]) for _ in range(rng.randrange(1, 9))}
         norm = math.sqrt(sum(w * w for w in raw.values()))
-        vectors.append([(x, w / norm) for x, w in sorted(raw.items())])
-    index = t.BlockMaxIndex(vectors, block=16)
-    for query in [*vectors[:60], [(99, 1.0)], []]:
-        want, got = plain_top(vectors, query, 9), index.top(query, 9)
-        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in want]
-        kth = want[-1][0] if want else 0
-        assert {i for s, i in got if s < kth - 1e-9} == {i for s, i in want if s < kth - 1e-9}
-    same = t.BlockMaxIndex([[(0, 1.0)]] * 100, block=16)
-    assert [i for _, i in same.top([(0, 1.0)], 5)] == [0, 1, 2, 3, 4]
+        vectors.append((np.array(sorted(raw)), np.array([round(raw[x] / norm * t.UNIT) for x in sorted(raw)], float)))
+    nothing = np.empty(0, np.int64), np.empty(0)
+    index = t.BlockMaxIndex(vectors, 301, block=16)
+    assert 0 < len(index.dense) < 50 and index.place.size
+    queries = [*vectors[:60], (np.array([300]), np.array([9.0])), nothing]
+    for query, (found, p) in zip(queries, index.top(queries, 9), strict=True):
+        assert list(zip((-p).tolist(), found.tolist(), strict=True)) == plain_top(vectors, query, 9)
+    one = np.array([0]), np.array([5.0])
+    assert [x.tolist() for x, _ in t.BlockMaxIndex([one] * 100, 1, block=16).top([one], 5)] == [[0, 1, 2, 3, 4]]
+    assert [x.tolist() for x, _ in t.BlockMaxIndex([one] * 3, 1).top([one], 5)] == [[0, 1, 2]]
+    assert t.BlockMaxIndex([], 0).top([nothing], 3)[0][0].size == 0
+
+
+def test_scores_equal_brute_force(spark, docs):
+    texts, labels, frame, table = make(docs, spark, 300)
+    model = t.fit(frame, table)
+    taught = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    bags = [Counter(x.lower().replace("!", " ").replace(".", " ").split()) for x in texts]
+    df = Counter(w for b in bags for w in b)
+    having, toxic = Counter(w for i in taught for w in bags[i]), Counter(w for i in taught if labels[i][2] for w in bags[i])
+    positives = sum(labels[i][2] for i in taught)
+
+    def weight(w):
+        odds = ((toxic[w] + 0.5) / (positives + 1)) / ((having[w] - toxic[w] + 0.5) / (len(taught) - positives + 1))
+        return (math.log(301 / (1 + df[w])) + 1) * (abs(math.log(odds)) + 1e-6)
+
+    def vector(bag):
+        v = {w: (1 + math.log(n)) * weight(w) for w, n in bag.items() if having[w]}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {i: vector(bags[i]) for i in taught}
+    assert sorted(model.ids.tolist()) == taught
+    for r in t.score(frame, model).collect():
+        mine = vector(bags[r.doc_id])
+        cosines = {i: sum(x * mine.get(w, 0) for w, x in v.items()) for i, v in vectors.items()}
+        want = sorted(cosines.values(), reverse=True)[: t.NEIGHBOURS]
+        assert [e.cosine for e in r.evidence] == pytest.approx(want, abs=1e-5)
+        assert all(e.cosine == pytest.approx(cosines[e.doc_id], abs=1e-5) and e.label == labels[e.doc_id][2] for e in r.evidence)
+        vote = sum(e.label / (1.05 - e.cosine) for e in r.evidence) / sum(1 / (1.05 - e.cosine) for e in r.evidence)
+        assert r.score == pytest.approx(float(np.interp(vote, model.xs, model.ys)), abs=1e-9)
+
+
+def test_equal_texts_score_alike_in_any_batch_and_copies_teach_once():
+    rng = random.Random(3)
+    words = [f"w{i}".encode() for i in range(200)]
+    examples = [(i, i % 2, Counter(rng.choice(words) for _ in range(30))) for i in range(300)]
+    model = t.Model(examples + [(1000 + i, y, c) for i, y, c in examples[:50]])
+    assert len(model.ids) == 300
+    texts = [" ".join(rng.choice(words).decode() for _ in range(20)) for _ in range(40)]
+    assert model.score(texts) == [model.score([x])[0] for x in texts]
 
 
 def test_isotonic_is_monotone():
@@ -65,12 +111,21 @@ def test_odd_rows(spark, docs):
     _, _, frame, table = make(docs, spark, 400)
     table = table.unionAll(spark.createDataFrame([(None, 1, 1), (3, None, None), (3, 1, 0)], table.schema))
     model = t.fit(frame, table)
-    odd = docs([(None, "vile rotten"), (5, None), (5, ""), (5, "vile! " * 5000)]).selectExpr("*", "1 AS score", "2 AS evidence", "3 AS label", "4 AS id")
+    odd = docs([(None, "vile rotten"), (5, None), (5, ""), (5, "vile! " * 5000)]).selectExpr("*", "1 AS SCORE", "2 AS evidence", "3 AS label", "4 AS id")
     got = {(r.doc_id, r.score) for r in t.score(odd, model).collect()}
-    assert len(got) == 3 and {x for x in got if x[1] < 0.5} == {(5, model.none)}
+    assert len(got) == 3 and {x for x in got if x[1] < 0.5} == {(5, model.rate)}
+    kept = t.score(odd, model, keep=True)
+    assert kept.columns == [*odd.columns, "score_1", "evidence_1"]
+    assert {(r["SCORE"], r["evidence"]) for r in kept.collect()} == {(1, 2)}
     assert t.score(docs([]), model).collect() == []
 
 
+def test_bounds_of_the_sample_pass_whole_texts_over(spark, docs):
+    texts, _, frame, table = make(docs, spark, 200)
+    model = t.fit(frame, table, examples=50, example_bytes=3000)
+    assert 0 < len(model.ids) <= 50 and sum(len(texts[i]) for i in model.ids.tolist()) <= 3000
+
+
 def test_no_labels(spark, docs):
     model = t.fit(docs(["a", "b"]), spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r.score for r in t.score(docs(["a"]), model).collect()] == [0.5]
