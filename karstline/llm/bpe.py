@@ -85,6 +85,11 @@ def stand_ins(pattern: str) -> dict[int, int]:
     return {c: agreed[int(theirs[c])] for c in np.flatnonzero(theirs != own).tolist()}
 
 
+def cut(text: str, lengths: Iterable[int]) -> list[str]:
+    """A text in parts of these lengths."""
+    return [text[a:b] for a, b in pairwise(accumulate(lengths, initial=0))]
+
+
 class Codec:
     """A rank file and its pattern: pre-tokenise, encode pieces, decode ids."""
 
@@ -106,8 +111,7 @@ class Codec:
     def pre_tokenise(self, text: str) -> list[str]:
         if text.isascii() or not self.may_differ(text):
             return self.find(text)
-        ends = list(accumulate(map(len, self.find(text.translate(self.others)))))
-        return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return cut(text, map(len, self.find(text.translate(self.others))))
 
     def encode_pieces(self, pieces: Iterable[str]) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
@@ -132,44 +136,49 @@ def codec(rank_file: bytes, pattern: str, others: dict[int, int] | None = None)
     return _codecs[key]
 
 
-def stitch(codec: Codec, chunks: list[tuple[int, str, np.ndarray]]) -> Iterator[list[str]]:
-    """Pre-tokens of a whole text, in order, from its chunks ``(start, text, lengths of matches)``.
+def stitch(codec: Codec, chunks: Iterable[tuple[int, str, list[str]]]) -> Iterator[list[str]]:
+    """Pre-tokens of a whole text, in order, from its chunks ``(start, text, its pre-tokens)``.
 
     Where no common boundary lies in an overlap (a run longer than it), the two
     chunks are joined and matched again from the last boundary that is certain.
     """
-    at = 0  # everything before is emitted
-    start, text, lengths = chunks[0]
-    bounds = start + np.concatenate([[0], np.cumsum(lengths)])
-    following = 1
-    while following < len(chunks):
-        next_start, next_text, next_lengths = chunks[following]
-        following += 1
-        next_bounds = next_start + np.concatenate([[0], np.cumsum(next_lengths)])
-        first, end = np.searchsorted(bounds, at), np.searchsorted(bounds, start + len(text) - LOOKAHEAD, "right")
-        certain = bounds[first:end]
-        shared = certain[np.searchsorted(certain, next_start) :]
-        common = shared[np.isin(shared, next_bounds[: np.searchsorted(next_bounds, start + len(text), "right")])]
-        cut = int(common[0]) if len(common) else int(certain[-1]) if len(certain) else at
-        own = bounds[first : np.searchsorted(bounds, cut, "right")].tolist()
-        yield [text[a - start : b - start] for a, b in pairwise(own)]
-        if len(common):
-            at, start, text, bounds = cut, next_start, next_text, next_bounds
-        else:
-            parts = [text[cut - start :], next_text[start + len(text) - next_start :]]
-            size, end = sum(map(len, parts)), next_start + len(next_text)
-            # a run over many chunks doubles each time, or it would be matched again with each of them
-            goal = 2 * size
-            while size < goal and following < len(chunks):
-                next_start, next_text, _ = chunks[following]
-                following += 1
-                parts.append(next_text[end - next_start :])
-                size, end = size + len(parts[-1]), next_start + len(next_text)
-            text = "".join(parts)
-            at = start = cut
-            bounds = start + np.concatenate([[0], np.cumsum([len(p) for p in codec.pre_tokenise(text)])]).astype(np.int64)
-    own = bounds[np.searchsorted(bounds, at) :].tolist()
-    yield [text[a - start : b - start] for a, b in pairwise(own)]
+    chunks = iter(chunks)
+    start, text, pieces = next(chunks)
+    done = 0  # pieces of the chunk at hand that are emitted
+    for next_start, next_text, next_pieces in chunks:
+        end = start + len(text)
+        # the chunk's boundaries in the overlap, by place; those at its very end are not certain
+        own, last, at, k = {}, done, end, len(pieces)
+        while True:
+            if at <= end - LOOKAHEAD:
+                last = max(last, k)
+                if at < next_start:
+                    break
+                own[at] = k
+            if k <= done:
+                break
+            k -= 1
+            at -= len(pieces[k])
+        at = next_start
+        for k, piece in enumerate(next_pieces):
+            if at in own or at > end:
+                break
+            at += len(piece)
+        if at in own:
+            yield pieces[done : own[at]]
+            start, text, pieces, done = next_start, next_text, next_pieces, k
+            continue
+        yield pieces[done:last]
+        parts = [*pieces[last:], next_text[end - next_start :]]
+        size, end = sum(map(len, parts)), next_start + len(next_text)
+        # a run over many chunks doubles each time, or it would be matched again with each of them
+        goal = 2 * size
+        while size < goal and (more := next(chunks, None)) is not None:
+            parts.append(more[1][end - more[0] :])
+            size, end = size + len(parts[-1]), more[0] + len(more[1])
+        text = "".join(parts)
+        start, pieces, done = end - size, codec.pre_tokenise(text), 0
+    yield pieces[done:]
 
 
 def chunks_of(text: str, chunk_chars: int, overlap_chars: int) -> list[tuple[int, str]]:
@@ -206,12 +215,9 @@ def encode(
     step = chunk_chars - overlap_chars
     is_long = F.coalesce(F.length("__text"), F.lit(0)) > overlap_chars + step * deal_chunks
 
-    def lengths_of(own, chunk):
-        return np.fromiter(map(len, own.pre_tokenise(chunk)), np.int32)
-
     def encode_here(own, text):
         chunks = chunks_of(text, chunk_chars, overlap_chars)
-        pieces = chain.from_iterable(stitch(own, [(at, c, lengths_of(own, c)) for at, c in chunks]))
+        pieces = chain.from_iterable(stitch(own, [(at, c, own.pre_tokenise(c)) for at, c in chunks]))
         return np.array(own.encode_pieces(pieces), np.int32)
 
     def encode_short(batches):
@@ -234,15 +240,15 @@ def encode(
     def pre_tokenise(batches):
         own = codec(*shared.value)
         for b in small_batches(batches):
-            lengths = [lengths_of(own, t) for t in b.column(2).to_pylist()]
+            lengths = [np.fromiter(map(len, own.pre_tokenise(t)), np.int32) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, list_array(np.concatenate(lengths), [len(x) for x in lengths], pa.int32())], names=["__key", "k", "chunk", "lengths"])
 
     def join_chunks(group: pd.DataFrame) -> pd.DataFrame:
         own = codec(*shared.value)
         group = group.sort_values("k")
-        parts = [(k * step, c, np.asarray(n, np.int64)) for k, c, n in zip(group["k"], group["chunk"], group["lengths"], strict=True)]
+        chunks = ((k * step, c, cut(c, n)) for k, c, n in zip(group["k"].tolist(), group["chunk"], group["lengths"], strict=True))
         parcels, held, size = [], [], 0
-        for pieces in stitch(own, parts):
+        for pieces in stitch(own, chunks):
             held += pieces
             size += sum(map(len, pieces))
             if size >= PARCEL_CHARS:
@@ -259,8 +265,7 @@ def encode(
         for b in small_batches(batches):
             ids = []
             for parcel, lengths in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                ends = [0, *accumulate(lengths)]
-                ids.append(np.array(own.encode_pieces([parcel[x:y] for x, y in pairwise(ends)]), np.int32))
+                ids.append(np.array(own.encode_pieces(cut(parcel, lengths)), np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), list_array(np.concatenate(ids), [len(x) for x in ids], pa.int32())], names=["__key", "k", "ids"])
 
     matched = chunks.mapInArrow(pre_tokenise, "__key string, k int, chunk string, lengths array<int>")
