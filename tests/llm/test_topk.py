@@ -1,17 +1,19 @@
 import math
 import random
 
+import numpy as np
 from karstline.llm import topk
 
 
 def brute(rows, k, every):
-    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    """By query id the answers of each of its rows, sorted."""
+    ok = [(i, [max(-(2**63), min(2**63 - 1, math.floor(256 * x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = {}
-    for q, a in sorted(ok):
+    for n, (q, a) in enumerate(ok):
         if q % every == 0:
-            found = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in ok if i != q)[:k]
-            out[q] = [(r + 1, i, -s) for r, (s, i) in enumerate(found)]
-    return {q: v for q, v in out.items() if v}
+            found = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for m, (i, b) in enumerate(ok) if m != n)[:k]
+            out.setdefault(q, []).extend((r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(found))
+    return {q: sorted(v) for q, v in out.items() if v}
 
 
 def answers(frame):
@@ -21,8 +23,8 @@ def answers(frame):
     return {q: sorted(v) for q, v in out.items()}
 
 
-def table(spark, rows):
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+def table(spark, rows, kind="float"):
+    return spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
 
 
 def test_matches_brute_force_whatever_the_blocks(spark):
@@ -31,8 +33,24 @@ def test_matches_brute_force_whatever_the_blocks(spark):
     rows += [(600 + i, rows[5][1]) for i in range(40)]  # ties
     rows += [(700, [0.0] * 6), (701, None), (None, [1.0] * 6), (702, [1.0, None] * 3), (703, [float("inf")] * 6), (750, [float("nan")] * 6)]
     want = brute(rows, 5, 50)
-    for v, q in ((10_000, 10_000), (64, 3)):
-        assert answers(topk.exact_top_k(table(spark, rows), block_vectors=v, block_queries=q)) == want
+    for v in (10_000, 64):
+        assert answers(topk.exact_top_k(table(spark, rows), block_vectors=v)) == want
+
+
+def test_large_components_stay_exact(spark):
+    rng = random.Random(5)
+    for scale in (2.0**18, 2.0**22, 2.0**40, 2.0**70):
+        rows = [(i, [rng.choice([-1, 1]) * scale + rng.randrange(256) / 256 for _ in range(3)]) for i in range(120)]
+        for v in (1000, 40):
+            assert answers(topk.exact_top_k(table(spark, rows, "double"), block_vectors=v)) == brute(rows, 5, 50)
+
+
+def test_many_dimensions(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, x) for i, x in enumerate(rng.normal(0, 0.1, (600, 64)).round(3).tolist())]
+    want = brute(rows, 5, 50)
+    for v in (1000, 100):
+        assert answers(topk.exact_top_k(table(spark, rows, "double"), block_vectors=v)) == want
 
 
 def test_few_rows_and_empty_table(spark):
@@ -43,30 +61,24 @@ def test_few_rows_and_empty_table(spark):
 
 
 def test_repeated_ids_and_clashing_columns(spark):
-    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (3, [0.5, 0.25]), (3, [0.25, 0.5])]
-    frame = table(spark, rows).selectExpr("*", "1 AS rank", "2 AS v", "3 AS q", "4 AS components")
-    assert answers(topk.exact_top_k(frame)) == {0: [(1, 3, 32768), (2, 3, 16384)]}
-
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (3, [0.5, 0.25]), (3, [0.25, 0.5]), (50, [1.0]), (50, [1.0, 0.0]), (50, [1.0])]
+    frame = table(spark, rows).selectExpr("*", "1 AS rank", "2 AS v", "3 AS q", "4 AS components", "5 AS `a.b`")
+    for v in (100, 2):
+        assert answers(topk.exact_top_k(frame, block_vectors=v)) == brute(rows, 5, 50)
 
-def test_many_copies_of_one_row(spark):
-    rows = [(7, [1.0])] * 60 + [(100, [0.5])] * 3 + [(8, [2.0])]
-    assert answers(topk.exact_top_k(table(spark, rows))) == {100: [(1, 8, 65536), *[(r, 7, 32768) for r in range(2, 6)]]}
 
+def test_many_copies_of_one_row(spark, monkeypatch):
+    monkeypatch.setattr(topk, "COPIES", 7)
+    rows = [(7, [1.0])] * 60 + [(100, [0.5])] * 30 + [(8, [2.0])]
+    for v in (100, 2):
+        assert answers(topk.exact_top_k(table(spark, rows), block_vectors=v)) == brute(rows, 5, 50)
 
-def test_lists_are_left_early(monkeypatch):
-    import numpy as np
 
+def test_lists_are_left_early():
     rng = np.random.default_rng(0)
     vectors = (rng.random((4000, 2)) * 256).astype(np.int64)
     lists = topk.SortedLists(np.arange(4000), vectors)
-    read = []
-
-    class Counting(np.ndarray):
-        def __getitem__(self, at):
-            if isinstance(at, np.ndarray):
-                read.append(len(at))
-            return super().__getitem__(at)
-
-    lists.exact = lists.exact.view(Counting)
-    lists.top(np.array([3.0, 1.0]), -1, 5)
-    assert sum(read) < 2000
+    alone = lists.top(np.array([3, 1]), -1, 5)
+    assert lists.depth < 1000
+    assert lists.top(np.array([3, 1]), -1, 5, bound=alone[-1][0]) == alone
+    assert lists.top(np.array([3, 1]), -1, 5, bound=10**6) == [] and lists.depth <= 16
