@@ -14,22 +14,26 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karstline.llm.common import bounded, read_table, small_batches
+from karstline.llm.common import bounded, free_names, fresh_name, named, read_table, small_batches
 
 #: Labelled pages that are written for training, and passes over them.
 TRAINING_PAGES, PASSES = 500, 120
 SEED = 13
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object select button".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark object q s samp small span strike strong sub sup time tt u var wbr br".split())
+#: All that lies in one of these belongs to the line around it.
+INLINE_WHOLE = frozenset(("math", "svg"))
+#: Raw text up to the close tag, or to the page's end where there is none, and up to the close tag or nothing.
+RAW = frozenset("script style textarea title".split())
+RAW_IF_CLOSED = frozenset("iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the first kind closes an open element of the second, up to the nearest of the third.
 CLOSES = {
@@ -43,8 +47,8 @@ _PARTS = re.compile(r"[a-z]+")
 
 
 @lru_cache(8192)
-def element(tag: str, attributes: str) -> tuple[str, tuple[str, ...]]:
-    """A tag and the features that it gives to what it holds."""
+def attribute_features(tag: str, attributes: str) -> tuple[str, ...]:
+    """What an element gives to all that it holds."""
     found = [f"in:{tag}"]
     for name, a, b, c in _NAMED.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
@@ -52,16 +56,60 @@ def element(tag: str, attributes: str) -> tuple[str, tuple[str, ...]]:
             found += ["hidden"] if value != "false" else []
         else:
             found += [f"named:{x}" for x in _PARTS.findall(value)]
-    return tag, tuple(found)
+    return tuple(dict.fromkeys(found))
+
+
+class Element:
+    """An open element; ``fresh`` are those of its features that no element around it has."""
+
+    __slots__ = ("around", "block_tag", "fresh", "own", "tag", "weight")
+
+    def __init__(self, tag: str, own: tuple[str, ...], fresh: tuple[str, ...], around: Element | None, is_inline: bool):
+        self.tag, self.own, self.fresh, self.around, self.weight = tag, own, fresh, around, None
+        self.block_tag = tag if not is_inline else around.block_tag if around else ""
+
+
+class Stack:
+    """Open elements; every step costs by what it opens or closes, however deep the page."""
+
+    def __init__(self):
+        self.open: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.given: dict[str, int] = {}
+        self.whole = 0  # open elements that put all they hold in the line
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element of these tags, -1 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def is_inline(self, tag: str) -> bool:
+        return self.whole > 0 or tag in INLINE or tag in INLINE_WHOLE
+
+    def push(self, tag: str, own: tuple[str, ...]) -> None:
+        given = self.given
+        fresh = tuple(f for f in own if not given.get(f))
+        for f in own:
+            given[f] = given.get(f, 0) + 1
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(Element(tag, own, fresh, self.open[-1] if self.open else None, self.is_inline(tag)))
+        self.whole += tag in INLINE_WHOLE
+
+    def pop_to(self, place: int) -> None:
+        while len(self.open) > place:
+            e = self.open.pop()
+            self.places[e.tag].pop()
+            self.whole -= e.tag in INLINE_WHOLE
+            for f in e.own:
+                self.given[f] -= 1
 
 
 class Block:
-    """Text of a leaf block, its ancestors, and how much of it is link."""
+    """Text of a leaf block, the innermost element around it, and how much of it is link."""
 
-    __slots__ = ("linked", "parts", "stack")
+    __slots__ = ("around", "linked", "parts")
 
-    def __init__(self, stack: list):
-        self.stack, self.parts, self.linked = tuple(stack), [], 0
+    def __init__(self, around: Element | None):
+        self.around, self.parts, self.linked = around, [], 0
 
     @property
     def text(self) -> str:
@@ -69,20 +117,25 @@ class Block:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order.  Scripts, styles and the like have none."""
+    """Leaf blocks with text, in page order.  Scripts, styles, text areas and the title have none.
+
+    Everything else is read, what browsers may not show too: whether the text of a
+    button or a noscript is the article's is for the field to say.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = Stack()
     now: Block | None = None
-    at, links = 0, 0
+    at = 0
 
     def text(part: str) -> None:
         nonlocal now
         if now is None:
             if not part or part.isspace():
                 return
-            now = Block(stack)
+            now = Block(stack.open[-1] if stack.open else None)
         now.parts.append(part)
-        now.linked += links and len(part)
+        if stack.places.get("a"):
+            now.linked += len(part)
 
     def end_block() -> None:
         nonlocal now
@@ -90,11 +143,7 @@ def blocks_of(page: str) -> list[Block]:
             out.append(now)
             now = None
 
-    def pop_to(place: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[place:])
-        del stack[place:]
-
+    never_closed: set[str] = set()
     while at < len(page):
         start = page.find("<", at)
         if start < 0:
@@ -112,53 +161,60 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if tag not in INLINE:
+            place = stack.last(tag)
+            if not stack.is_inline(tag):
                 end_block()
-            if place is not None:
-                pop_to(place)
+            if place >= 0:
+                stack.pop_to(place)
             continue
-        if tag in RAW and not m[0].endswith("/>"):
+        if (tag in RAW or tag in RAW_IF_CLOSED and tag not in never_closed) and not m[0].endswith("/>"):
             close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-            at = len(page) if close is None else close.start()
+            if close is not None:
+                at = close.start()
+            elif tag in RAW:
+                at = len(page)
+            else:
+                never_closed.add(tag)
             continue
         if tag == "br":
             text(" ")
-        if tag not in INLINE:
+        if not stack.is_inline(tag):
             end_block()
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if place is not None and not any(t in ("table", "object", "button") for t, _ in stack[place:]):
-                pop_to(place)
+            place = stack.last("p")
+            if place > stack.last("table", "object", "button"):
+                stack.pop_to(place)
             if tag in CLOSES:
                 shut, until = CLOSES[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in until:
-                        break
-                    if stack[i][0] in shut:
-                        pop_to(i)
-                        break
+                place = stack.last(*shut)
+                if place > stack.last(*(until - shut)):
+                    stack.pop_to(place)
         if tag not in VOID and not m[0].endswith("/>"):
-            stack.append(element(tag, m[3]))
-            links += tag == "a"
+            stack.push(tag, attribute_features(tag, m[3]))
     end_block()
     return [b for b in out if b.text]
 
 
-def features(block: Block, text: str) -> list[str]:
-    """Names of a block's features; ancestors near the block count once more as such."""
-    found = {f for _, fs in block.stack for f in fs}
-    tags = [t for t, _ in block.stack if t not in INLINE]
-    found.add(f"parent:{tags[-1] if tags else ''}")
+def text_features(block: Block, text: str) -> list[str]:
+    """Names of the features of a block itself: its nearest block-level element and counts over its whole text."""
     n = len(text)
-    found.add(f"size:{min(9, n.bit_length())}")
-    found.add(f"links:{min(4, 5 * block.linked // max(1, sum(map(len, block.parts))))}")
-    found.add(f"stops:{min(4, text.count('. ') + text.count('! ') + text.count('? ') + (text[-1] in '.!?'))}")
-    found.add(f"commas:{min(3, text.count(','))}")
-    found.add(f"digits:{min(3, 8 * sum(c.isdigit() for c in text) // n)}")
-    for name, sign in (("copyright", "©"), ("bar", "|"), ("at", "@"), ("arrow", "»")):
-        if sign in text:
-            found.add(name)
-    found.add("all")
+    found = [
+        f"parent:{block.around.block_tag if block.around else ''}",
+        f"size:{min(9, n.bit_length())}",
+        f"links:{min(4, 5 * block.linked // max(1, sum(map(len, block.parts))))}",
+        f"stops:{min(4, text.count('. ') + text.count('! ') + text.count('? ') + (text[-1] in '.!?'))}",
+        f"commas:{min(3, text.count(','))}",
+        f"digits:{min(3, 8 * sum(c.isdigit() for c in text) // n)}",
+        "all",
+    ]
+    return found + [name for name, sign in (("copyright", "©"), ("bar", "|"), ("at", "@"), ("arrow", "»")) if sign in text]
+
+
+def features(block: Block, text: str) -> list[str]:
+    """Names of a block's features: those of all elements around it, each once, and its own."""
+    found, e = text_features(block, text), block.around
+    while e is not None:
+        found += e.fresh
+        e = e.around
     return sorted(found)
 
 
@@ -169,18 +225,40 @@ class Field:
         self.numbers, self.weights, self.moves, self.first = numbers, weights, moves, first
         self.told = {f: tuple(weights[i].tolist()) for f, i in numbers.items()}
 
+    def weigh(self, names: Iterable[str], start: tuple[float, float] = (0.0, 0.0)) -> tuple[float, float]:
+        e0, e1 = start
+        for f in names:
+            w0, w1 = self.told.get(f, (0.0, 0.0))
+            e0 += w0
+            e1 += w1
+        return e0, e1
+
+    def around(self, element: Element | None) -> tuple[float, float]:
+        """The weight of all that the elements around a block give it; each element's is found once."""
+        path = []
+        while element is not None and element.weight is None:
+            path.append(element)
+            element = element.around
+        weight = element.weight if element is not None else (0.0, 0.0)
+        for e in reversed(path):
+            weight = e.weight = self.weigh(e.fresh, weight)
+        return weight
+
+    def label(self, blocks: list[Block], texts: list[str]) -> list[int]:
+        """The likeliest labels of a page's blocks."""
+        return self.viterbi([self.weigh(text_features(b, t), self.around(b.around)) for b, t in zip(blocks, texts, strict=True)])
+
     def decode(self, found: list[list[str]]) -> list[int]:
-        """The likeliest labels of a page's blocks (Viterbi); ties go to main text."""
-        if not found:
+        """The likeliest labels of a chain of features."""
+        return self.viterbi([self.weigh(names) for names in found])
+
+    def viterbi(self, weights: list[tuple[float, float]]) -> list[int]:
+        """The likeliest labels of blocks with these weights; ties go to main text."""
+        if not weights:
             return []
         (a00, a01), (a10, a11) = self.moves.tolist()
-        back, best, nothing = [], None, (0.0, 0.0)
-        for names in found:
-            e0 = e1 = 0.0
-            for f in names:
-                w0, w1 = self.told.get(f, nothing)
-                e0 += w0
-                e1 += w1
+        back, best = [], None
+        for e0, e1 in weights:
             if best is None:
                 best = (self.first[0] + e0, self.first[1] + e1)
                 continue
@@ -304,6 +382,13 @@ class Writer:
             inner = f"<h3>{self.line(1, 3)}</h3>" + "".join(f"<{t}><b>{self.line(1, 2)}</b><p>{self.prose()}</p></{t}>" for t in [rng.choice(["div", "li", "article"])] for _ in range(rng.randint(1, 4)))
         return self.wrap(kind, self.APART[kind], inner)
 
+    def control(self) -> str:
+        """What stands in a page for its reader to press, or for readers without scripts."""
+        return self.rng.choice([
+            f"<button>{self.line(1, 3)}</button>", f"<select><option>{self.line(1, 2)}<option>{self.line(1, 2)}</select>",
+            f"<noscript><p>{self.prose()}</p></noscript>", f"<template><p>{self.prose()}</p></template>",
+        ])
+
     def main(self) -> str:
         rng, m = self.rng, self.MAIN
         parts = [f"<h1>{m}{self.line(2, 9)}</h1>"] if rng.random() < 0.8 else []
@@ -328,6 +413,10 @@ class Writer:
                 parts.append(f'<p>{text} <a href="/x">{self.line(1, 3)}</a> {self.line(2, 6)}.</p>')
             else:
                 parts.append(f"<p>{text}</p>")
+            if x > 0.95:
+                parts.append(f"<p>{m}{self.line(1, 6)} <math><mi>{self.line(1, 1)}</mi><mo>=</mo><mn>{i}</mn></math> {self.line(2, 6)}</p>")
+            if i and rng.random() < 0.05:
+                parts.append(self.control())
             if i and rng.random() < 0.06:
                 parts.append(self.apart(rng.choice(["div", "aside", "form"])))
         return "".join(parts)
@@ -337,6 +426,7 @@ class Writer:
         before = [self.apart(k) for k in ("header", "nav", "div", "form", "div") if rng.random() < 0.45]
         after = [self.apart(k) for k in ("aside", "section", "div", "form", "nav") if rng.random() < 0.4] + ([self.apart("footer")] if rng.random() < 0.85 else [])
         inner = self.main()
+        before += [self.control() for _ in range(2) if rng.random() < 0.15]
         if rng.random() < 0.25:
             inner += self.apart(rng.choice(["section", "div", "aside"]))
         x = rng.random()
@@ -374,21 +464,24 @@ def fit(pages: list[tuple[str, list[int]]] | None = None, passes: int = PASSES)
 
 def main_text(field: Field, page: str | None) -> str:
     """Blocks that the field labels main text, joined by newlines."""
-    found = [(b, b.text) for b in blocks_of(page or "")]
-    labels = field.decode([features(b, t) for b, t in found])
-    return "\n".join(t for (_, t), y in zip(found, labels, strict=True) if y)
+    blocks = blocks_of(page or "")
+    texts = [b.text for b in blocks]
+    return "\n".join(t for t, y in zip(texts, field.label(blocks, texts), strict=True) if y)
 
 
 def extract(pages: DataFrame, field: Field, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Main text of every whole page: the columns ``keep``, then ``text string, n_chars long``.
 
     A row for each input row.  A null or empty page, and one without main text, has
-    an empty text; broken markup is read as far as it goes; nothing is cut short.
-    Other columns are left out, whatever their names.
+    an empty text; broken markup is read as far as it goes; nothing is cut short, and
+    a page's cost grows with its length, however deep its elements lie.  Other
+    columns are left out, whatever their names; the two added ones have other names
+    where a kept column has these (``free_names``).
     """
     shared = pages.sparkSession.sparkContext.broadcast(field)
-    rows = bounded(pages).select(*keep, F.col(html_col).alias("__html"))
-    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    rows = bounded(pages).select(*map(named, keep), named(html_col).alias(fresh_name("html")))
+    added = free_names(keep, "text", "n_chars")
+    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(n, t) for n, t in zip(added, (T.StringType(), T.LongType()), strict=True)])
 
     def run(batches):
         own = shared.value

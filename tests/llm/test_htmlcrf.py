@@ -1,6 +1,9 @@
+import html
 import itertools
 import math
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -17,6 +20,8 @@ def test_blocks_follow_markup():
     <style>p{}</style>1 < 2 &lt;b&gt; <td>k<td>l</table><textarea>no</textarea>m<p"""
     assert [b.text for b in h.blocks_of(page)] == ["a b& c d", "e", "f", "g", "h i", "1 < 2 <b>", "k", "l", "m"]
     assert [b.text for b in h.blocks_of("<a href='x'>y</a> plain <script>never closed")] == ["y plain"]
+    assert [b.text for b in h.blocks_of("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b <object>c</object><noscript>d</noscript><button>e</button><select><option>f<option>g</select>")] == ["a x=1 b c", "d", "e", "f", "g"]
+    assert [b.text for b in h.blocks_of("<iframe>no</iframe>a<iframe>b<p>c<noframes>d")] == ["a b".replace(" ", ""), "cd"]
     assert h.blocks_of("") == [] and h.blocks_of("<><<") [0].text == "<><<"
 
 
@@ -73,3 +78,35 @@ def test_digits_are_counted_over_the_whole_block():
     late = "word " * 100 + "1234567890 " * 100 + "end"
     (block,) = h.blocks_of(f"<p>{late}</p>")
     assert "digits:3" in h.features(block, block.text)
+
+
+def test_features_by_name_and_by_weight_agree(field):
+    for page, _ in h.labelled_pages(40, seed=5):
+        blocks = h.blocks_of(page)
+        assert field.label(blocks, [b.text for b in blocks]) == field.decode([h.features(b, b.text) for b in blocks])
+
+
+def test_broken_and_deep_pages_cost_by_their_length(field):
+    for deep in ("<div>", "<p><div class=a{}>", "<ul><li>", "<p><table><tr><td>", "</b><i>", "<math>"):
+        seconds = []
+        for n in (2000, 16000):
+            page = "<article><p>One sentence stands here.</p>" + "".join(deep.format(i) + "x. " for i in range(n))
+            start = time.process_time()
+            assert len(h.main_text(field, page)) >= len("One sentence stands here.")
+            seconds.append(time.process_time() - start)
+        assert seconds[1] < 30 * seconds[0] + 0.5
+
+
+def test_article_text_in_odd_elements_stays(field):
+    page = "<nav><a href=/>Home</a></nav><article><h1>Title of it</h1><p>Let <math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math> hold, as shown.</p><p>See <object>the drawing here</object> for more.</p><button>Subscribe</button></article>"
+    assert h.main_text(field, page) == "Title of it\nLet x<2 hold, as shown.\nSee the drawing here for more."
+
+
+def test_pages_table(spark, field):
+    """The table's articles stand in <article>; what is in it, block by block, is the whole result."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in h.extract(pages, field).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = [html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))) for x in re.split(r"</?(?:p|h\d|div|ul|li)>", inner)]
+        assert got[r.page_id] == "\n".join(y for x in blocks if (y := " ".join(x.split())))
