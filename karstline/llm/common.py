@@ -141,6 +141,11 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1 and so on: ``mapInArrow`` takes no names with dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def free_names(taken: Iterable[str], *stems: str) -> list[str]:
     """Names for added columns: the stems, each with the least number behind it that no column has, if one has it.
 

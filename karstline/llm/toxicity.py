@@ -17,8 +17,8 @@ themselves, each left out in turn.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karstline.llm.common import alnum_words, bounded, checkpoint, free_names, fresh_name, is_held_out, named, read_table, small_batches
+from karstline.llm.common import alnum_words, bounded, checkpoint, free_names, fresh_name, is_held_out, named, numbered, read_table, small_batches
 
 #: Labelled texts that are fitted at most, those with the least hash of their id, and their bytes in all.
-EXAMPLES, EXAMPLE_BYTES = 8000, 24 << 20
+EXAMPLES, EXAMPLE_BYTES = 6000, 12 << 20
 NEIGHBOURS = 15
 #: Examples in a block; words that more than a DENSE-th of the examples have keep block maxima.
 BLOCK, DENSE = 64, 16
@@ -47,7 +47,7 @@ class BlockMaxIndex:
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
         self.n, self.block, self.blocks = len(vectors), block, -(-len(vectors) // block)
         self.width = self.blocks * block
-        term = np.concatenate([v[0] for v in vectors]) if vectors else np.empty(0, np.int64)
+        term = np.concatenate([v[0] for v in vectors]) if vectors else np.empty(0, np.int32)
         weight = np.concatenate([v[1] for v in vectors]) if vectors else np.empty(0)
         place = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
         dense = np.flatnonzero(np.bincount(term, minlength=terms) * DENSE > self.n)
@@ -117,33 +117,43 @@ def label_weights(having: np.ndarray, toxic: np.ndarray, examples: int, positive
     return np.abs(np.log(among / apart)) + 1e-6
 
 
+class Examples:
+    """Labelled texts as numbers and counts of their words; the texts themselves are not held."""
+
+    def __init__(self, texts: Iterable[tuple[int, int, str]]):
+        """``texts``: id, label and text; one without words is left out."""
+        self.words: dict[bytes, int] = {}
+        self.held: list[tuple[np.ndarray, np.ndarray, int, int]] = []
+        number = self.words.setdefault
+        for i, y, text in texts:
+            counts = Counter(alnum_words(text))
+            if counts:
+                terms = np.fromiter((number(w, len(self.words)) for w in counts), np.int32, len(counts))
+                order = np.argsort(terms)
+                self.held.append((terms[order], np.fromiter(counts.values(), np.int32, len(counts))[order], i, y))
+
+
 class Model:
     """Words, their weights, index, calibration, and the label rate of all examples."""
 
-    BATCH = 256
-
-    def __init__(self, examples: list[tuple[int, int, dict[bytes, int]]], frequencies: dict[bytes, int] | None = None, documents: int | None = None, k: int = NEIGHBOURS):
-        """``examples``: id, label and counts by word; ``frequencies``: of ``documents`` documents, how many have a word (the examples' by default)."""
-        self.k = k
-        examples = sorted((x for x in examples if x[2]), key=lambda x: (x[0], sorted(x[2].items())))
-        self.words = {w: i for i, w in enumerate(sorted({w for _, _, c in examples for w in c}))}
-        if frequencies is None:
-            documents, frequencies = len(examples), Counter(w for _, _, c in examples for w in c)
-        n = np.array([frequencies.get(w, 1) for w in self.words], np.float64)
-        plain = np.log((1 + documents) / (1 + n)) + 1
-        vectors = [(*self.counted(c), i, y) for i, y, c in examples]
+    BATCH = 128
+
+    def __init__(self, examples: Examples, frequencies: np.ndarray, documents: int, k: int = NEIGHBOURS):
+        """``frequencies``: by number of the word, how many of ``documents`` documents have it."""
+        self.k, self.words = k, examples.words
+        plain = np.log((1 + documents) / (1 + frequencies)) + 1
         # examples whose heaviest words agree share blocks, which keeps the block maxima low
-        heaviest = [int(t[np.argmax(self.weighted(t, c, plain)[1])]) for t, c, _, _ in vectors]
-        vectors = [v for _, _, v in sorted(zip(heaviest, range(len(vectors)), vectors, strict=True))]
-        vectors = self.without_copies(vectors, plain)
+        heaviest = [int(t[np.argmax(self.weighted(t, c, plain)[1])]) for t, c, _, _ in examples.held]
+        held = [examples.held[i] for i in sorted(range(len(heaviest)), key=lambda i: (heaviest[i], i))]
+        held = self.without_copies(held, plain)
         having, toxic = np.zeros(len(self.words)), np.zeros(len(self.words))
-        for t, _, _, y in vectors:
+        for t, _, _, y in held:
             having[t] += 1
             toxic[t] += y
-        self.ids, self.labels = np.array([v[2] for v in vectors], np.int64), np.array([v[3] for v in vectors], np.float64)
-        self.weights = plain * label_weights(having, toxic, len(vectors), int(self.labels.sum()))
-        self.rate = float((self.labels.sum() + 0.5) / (len(vectors) + 1))
-        weighted = [self.weighted(t, c, self.weights) for t, c, _, _ in vectors]
+        self.ids, self.labels = np.array([v[2] for v in held], np.int64), np.array([v[3] for v in held], np.float64)
+        self.weights = plain * label_weights(having, toxic, len(held), int(self.labels.sum()))
+        self.rate = float((self.labels.sum() + 0.5) / (len(held) + 1))
+        weighted = [self.weighted(t, c, self.weights) for t, c, _, _ in held]
         self.index = BlockMaxIndex(weighted, len(self.words))
         votes = []
         for at in range(0, len(weighted), self.BATCH):
@@ -165,7 +175,7 @@ class Model:
         """Numbers and counts of the words that examples have."""
         words = self.words
         pairs = sorted((words[w], n) for w, n in counts.items() if w in words)
-        return np.array([t for t, _ in pairs], np.int64), np.array([n for _, n in pairs], np.float64)
+        return np.array([t for t, _ in pairs], np.int32), np.array([n for _, n in pairs], np.int32)
 
     @staticmethod
     def weighted(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,9 +201,9 @@ class Model:
         return out
 
 
-def document_frequencies(docs: DataFrame, words: list[bytes], text_col: str) -> tuple[dict[bytes, int], int]:
-    """Of all documents with a text, how many have each of these words, and how many there are."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+def document_frequencies(docs: DataFrame, words: dict[bytes, int], text_col: str) -> tuple[np.ndarray, int]:
+    """Of all documents with a text, how many have each of these words, by number, and how many there are."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
         number = shared.value
@@ -208,8 +218,10 @@ def document_frequencies(docs: DataFrame, words: list[bytes], text_col: str) ->
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[some])], names=["word", "n"])
 
     counted = bounded(docs).select(named(text_col)).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    found = dict(zip(counted.column(0).to_pylist(), counted.column(1).to_pylist(), strict=True))
-    return {w: found[i] for i, w in enumerate(words) if i in found}, found.get(len(words), 0)
+    shared.destroy()
+    found = np.zeros(len(words) + 1)
+    found[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    return found[:-1], int(found[-1])
 
 
 def fit(
@@ -239,10 +251,10 @@ def fit(
             fitting.append(r.key)
     if len(fitting) < len(sizes):
         one = one.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in fitting], "key string")), "key", "left_semi")
-    table = one.select("id", "label", "text").toArrow()
-    taught = [(i, y, Counter(alnum_words(t))) for i, y, t in zip(*(table.column(c).to_pylist() for c in range(3)), strict=True)]
-    words = sorted({w for _, _, c in taught for w in c})
-    return Model(taught, *document_frequencies(docs, words, text_col), k)
+    table = one.select("id", "label", "text").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    taught = Examples((i.as_py(), y.as_py(), t.as_py()) for i, y, t in zip(*(table.column(c) for c in range(3)), strict=True))
+    del table
+    return Model(taught, *document_frequencies(docs, taught.words, text_col), k)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -260,7 +272,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     kept = [c for c in docs.columns if keep or c == id_col]
     added = free_names(kept, "score", "evidence")
     kinds = T._parse_datatype_string("score double, evidence array<struct<doc_id:long,cosine:double,label:int>>").fields
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, f.dataType) for n, f in zip(added, kinds, strict=True)])
+    rows = numbered(bounded(docs).select(*map(named, kept), named(text_col).alias(fresh_name("text"))))
+    schema = T.StructType(rows.schema.fields[:-1] + kinds)
     parts = {"doc_id": pa.int64(), "cosine": pa.float64(), "label": pa.int32()}
 
     def run(batches):
@@ -272,7 +285,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             evidence = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, parts.values(), strict=True)], names=list(parts)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array([s for s, _ in pairs], pa.float64()), evidence], names=schema.names)
 
-    return bounded(docs).select(*map(named, kept), named(text_col).alias(fresh_name("text"))).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*kept, *added)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,11 +65,13 @@ def test_scores_equal_brute_force(spark, docs):
 
 def test_equal_texts_score_alike_in_any_batch_and_copies_teach_once():
     rng = random.Random(3)
-    words = [f"w{i}".encode() for i in range(200)]
-    examples = [(i, i % 2, Counter(rng.choice(words) for _ in range(30))) for i in range(300)]
-    model = t.Model(examples + [(1000 + i, y, c) for i, y, c in examples[:50]])
-    assert len(model.ids) == 300
-    texts = [" ".join(rng.choice(words).decode() for _ in range(20)) for _ in range(40)]
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, i % 2, " ".join(rng.choice(words) for _ in range(30))) for i in range(300)]
+    examples = t.Examples(rows + [(1000 + i, y, f"{x} w0") for i, y, x in rows[:50]] + [(2000, 1, "...")])
+    frequencies = np.bincount(np.concatenate([v[0] for v in examples.held]))
+    model = t.Model(examples, frequencies, len(examples.held))
+    assert sorted(model.ids.tolist()) == list(range(300))
+    texts = [" ".join(rng.choice(words) for _ in range(20)) for _ in range(40)]
     assert model.score(texts) == [model.score([x])[0] for x in texts]
 
 
@@ -111,7 +113,7 @@ def test_odd_rows(spark, docs):
     _, _, frame, table = make(docs, spark, 400)
     table = table.unionAll(spark.createDataFrame([(None, 1, 1), (3, None, None), (3, 1, 0)], table.schema))
     model = t.fit(frame, table)
-    odd = docs([(None, "vile rotten"), (5, None), (5, ""), (5, "vile! " * 5000)]).selectExpr("*", "1 AS SCORE", "2 AS evidence", "3 AS label", "4 AS id")
+    odd = docs([(None, "vile rotten"), (5, None), (5, ""), (5, "vile! " * 5000)]).selectExpr("*", "1 AS SCORE", "2 AS evidence", "3 AS label", "4 AS id", "5 AS `a.b`")
     got = {(r.doc_id, r.score) for r in t.score(odd, model).collect()}
     assert len(got) == 3 and {x for x in got if x[1] < 0.5} == {(5, model.rate)}
     kept = t.score(odd, model, keep=True)
