@@ -67,7 +67,7 @@ def test_layouts_of_other_makes(field):
 def test_extract_odd_rows(spark, field):
     long = "<article>" + "<p>One sentence stands here.</p>" * 3000 + "</article>"
     rows = [(1, "u", None, 1), (1, "u", None, 1), (None, None, "", 2), (3, "v", long, 3), (4, "w", "<nav><a>x</a></nav>", 4)]
-    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text int").selectExpr("*", "1 AS n_chars")
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text int").selectExpr("*", "1 AS n_chars", "2 AS `a.b`")
     got = h.extract(frame, field).collect()
     assert got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"} and len(got) == 5
     assert sorted(r.n_chars for r in got)[:4] == [0, 0, 0, 0] and max(got, key=lambda r: r.n_chars).text.count("\n") == 2999
