@@ -10,21 +10,21 @@ comparison of the words confirms an occurrence.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from karstline.llm.common import alnum_words, bounded, read_table, small_batches
+from karstline.llm.common import alnum_words, bounded, checkpoint, free_names, fresh_name, named, numbered, read_table, small_batches
 
 WINDOW_WORDS = 8
 MIN_ITEMS = 2
-#: Characters of benchmark text in one block of patterns, the most that is broadcast at once.
-BLOCK_CHARS = 8 << 20
-#: Passes over the documents; more would make the plan too deep.
-MAX_BLOCKS = 512
+#: Pairs of a window and an item in one block, the most that the driver and a worker hold at once (under 100 MB).
+BLOCK_PAIRS = 50_000
+#: Passes over the documents between checkpoints, which keep the plan short.
+PASSES = 32
 
 
 class WuManber:
@@ -62,27 +62,45 @@ class WuManber:
                 i += 1
 
 
-def windows(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
-    if not words:
-        return set()
-    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+def window_pairs(items: DataFrame, size: int) -> DataFrame:
+    """Distinct pairs ``(item string, words binary)`` of the windows of items ``(item, text)``, words joined by a space."""
 
+    def run(batches):
+        for b in small_batches(batches):
+            ids, found = [], []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = alnum_words(text)
+                for i in range(max(1, len(words) - size + 1) if words else 0):
+                    ids.append(item)
+                    found.append(b" ".join(words[i : i + size]))
+                    if len(ids) >= BLOCK_PAIRS:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.binary())], names=["item", "words"])
+                        ids, found = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.binary())], names=["item", "words"])
 
-def patterns_of(items: list[tuple], size: int) -> dict[tuple[bytes, ...], list]:
-    found = defaultdict(set)
-    for item, text in items:
-        if item is not None:
-            for w in windows(alnum_words(text), size):
-                found[w].add(str(item))
+    return bounded(items).mapInArrow(run, "item string, words binary").distinct()
+
+
+def patterns_of(pairs: Iterable[tuple[str, bytes]]) -> dict[tuple[bytes, ...], list]:
+    """Items by window, from distinct pairs; equal words are one object."""
+    known: dict[bytes, bytes] = {}
+    found = defaultdict(list)
+    for item, words in pairs:
+        found[tuple(known.setdefault(w, w) for w in bytes(words).split(b" "))].append(item)
     return {w: sorted(x) for w, x in found.items()}
 
 
-def union_length(spans: list[tuple[int, int]]) -> int:
-    total = end = 0
-    for a, b in sorted(spans):
-        total += max(0, b - max(a, end))
-        end = max(end, b)
-    return total
+def pattern_blocks(pairs: DataFrame, block_pairs: int) -> Iterator[dict[tuple[bytes, ...], list]]:
+    """Blocks of patterns one after another; neither a long item nor a window of many items makes a block larger."""
+    pairs = checkpoint(pairs)
+    blocks = max(1, -(-pairs.count() // block_pairs))
+    if blocks == 1:
+        yield patterns_of(pairs.toLocalIterator())
+        return
+    of = F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).alias("block")
+    dealt = pairs.select(of, "item", "words").repartition(blocks, "block").sortWithinPartitions("block")
+    for _, rows in groupby(dealt.toLocalIterator(), lambda r: r["block"]):
+        yield patterns_of((r["item"], r["words"]) for r in rows)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -95,44 +113,48 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+ADDED = {"n_words": "long", "spans": "array<struct<first_word:int,after_word:int>>", "items": "array<string>"}
+
+
 def scan(
     docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", keep_text: bool = False, block_chars: int = BLOCK_CHARS,
+    item_col: str = "item_id", item_text_col: str = "text", keep_text: bool = False, block_pairs: int = BLOCK_PAIRS,
 ) -> DataFrame:
     """Occurrences of benchmark windows in each document.
 
     Returns a row for each input row: ``id_col, n_words long, spans array<struct<
     first_word int, after_word int>>`` (merged, in words), ``items array<string>``
     (sorted ids of items with occurring windows), after all columns of ``docs`` if
-    ``keep_text``.  Null or empty texts have no words; items without id or words
-    have no windows; equal items each count; an empty benchmark hits nothing.
-
-    The benchmark's size is measured first.  Up to ``block_chars`` characters its
-    patterns are broadcast in one block; a larger benchmark is dealt by a hash of
-    the id into so many blocks, each searched by a pass over the documents that
-    adds to the spans and items, so no broadcast grows with the data.
+    ``keep_text``; the three have other names where those columns have these
+    (``free_names``).  Null or empty texts have no words; items without id or words
+    have no windows; equal items each count; items that share an id are one; an
+    empty benchmark hits nothing.
+
+    The benchmark's pairs of window and item are counted first.  Up to
+    ``block_pairs`` are broadcast in one block; more are dealt by their hash into as
+    many blocks as it takes, each searched by a pass over the documents that adds to
+    the spans and items, so no broadcast grows with the benchmark.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(chars) // block_chars))
-    if blocks > MAX_BLOCKS:
-        raise ValueError(f"the benchmark has {chars} characters; {MAX_BLOCKS} blocks of {block_chars} are the most")
-    kept = [c for c in docs.columns if keep_text or c == id_col]
-    kept = [c for c in kept if c not in ("n_words", "spans", "items")]
-    # the text rides last while passes remain
-    out = bounded(docs).select(*kept, F.col(text_col).alias("__text"), *[F.lit(None).cast(t).alias(n) for n, t in (("n_words", "long"), ("spans", "array<struct<first_word:int,after_word:int>>"), ("items", "array<string>"))])
+    items = benchmark.select(named(item_col).cast("string").alias("item"), named(item_text_col).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
+    kept = list(docs.columns) if keep_text else [id_col]
+    added = free_names(kept, *ADDED)
+    body = text_col if keep_text else fresh_name("text")
+    # the text rides along while passes remain
+    columns = [*map(named, kept), *([] if keep_text else [named(text_col).alias(body)])]
+    out = bounded(docs).select(*columns, *[F.lit(None).cast(t).alias(n) for n, t in zip(added, ADDED.values(), strict=True)])
+    names, before = out.columns, len(columns)
+    text_at = names.index(body)
+    out = numbered(out)
     schema = out.schema
-    place = {name: len(kept) + i for i, name in enumerate(("__text", "n_words", "spans", "items"))}
-    types = {f.name: f.type for f in pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first_word", pa.int32()), ("after_word", pa.int32())]))), ("items", pa.list_(pa.string()))])}
+    kinds = [pa.int64(), pa.list_(pa.struct([("first_word", pa.int32()), ("after_word", pa.int32())])), pa.list_(pa.string())]
 
     def one_pass(shared):
         def run(batches):
             search = WuManber(shared.value)
             for b in small_batches(batches):
                 n_words, all_spans, all_items = [], [], []
-                before = zip(b.column(place["__text"]).to_pylist(), b.column(place["spans"]).to_pylist(), b.column(place["items"]).to_pylist(), strict=True)
-                for text, spans, ids in before:
+                for text, spans, ids in zip(*(b.column(i).to_pylist() for i in (text_at, before + 1, before + 2)), strict=True):
                     words = alnum_words(text)
                     spans, ids = [(s["first_word"], s["after_word"]) for s in spans or ()], set(ids or ())
                     for start, length, its in search.find(words):
@@ -141,24 +163,26 @@ def scan(
                     n_words.append(len(words))
                     all_spans.append([{"first_word": x, "after_word": y} for x, y in merged(spans)])
                     all_items.append(sorted(ids))
-                done = [pa.array(v, types[k]) for k, v in (("n_words", n_words), ("spans", all_spans), ("items", all_items))]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept) + 1], *done], names=schema.names)
+                done = [pa.array(v, t) for v, t in zip((n_words, all_spans, all_items), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:before], *done], names=schema.names)
 
         return run
 
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        patterns = patterns_of([tuple(r) for r in part.collect()], window)
+    for n, patterns in enumerate(pattern_blocks(window_pairs(items, window), block_pairs)):
+        if n and n % PASSES == 0:
+            out = checkpoint(out)
         out = out.mapInArrow(one_pass(spark.sparkContext.broadcast(patterns)), schema)
-    return out.drop("__text")
+    out = out.toDF(*names)
+    return out if keep_text else out.drop(body)
 
 
 def report(scanned: DataFrame, *, id_col: str = "doc_id", min_items: int = MIN_ITEMS) -> DataFrame:
     """The counts and hash of a scan; contaminated: at least ``min_items`` items."""
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["after_word"] - s["first_word"]))
+    n_words, spans, items = free_names([id_col], *ADDED)
+    hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + (s["after_word"] - s["first_word"]))
     return scanned.select(
-        id_col, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= min_items).alias("contaminated"),
+        named(id_col), F.col(n_words).alias("n_words"), hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(items) >= min_items).alias("contaminated"),
     )
 
 
@@ -168,8 +192,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with windows of any benchmark item go, all others stay whole."""
-    found = scan(docs.withColumn("__body", F.col("text")), read_table(spark, sf_dir, "benchmark"), text_col="__body", keep_text=True)
-    return found.where(F.size("items") == 0).select(*docs.columns)
+    found = scan(docs, read_table(spark, sf_dir, "benchmark"), keep_text=True)
+    items = free_names(docs.columns, *ADDED)[-1]
+    return found.where(F.size(named(items)) == 0).select(*map(named, docs.columns))
 
 
 ORACLE = r"""

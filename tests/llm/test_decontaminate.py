@@ -36,7 +36,8 @@ def test_matches_brute_force_in_one_block_and_in_many(spark, docs):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute(texts, items)
     assert rows(d.scan(docs(texts), bench)) == want
-    assert rows(d.scan(docs(texts), bench, block_chars=10)) == want
+    for pairs in (1, 7):  # more blocks than passes between checkpoints, and a few
+        assert rows(d.scan(docs(texts), bench, block_pairs=pairs)) == want
 
 
 def test_report_stage_and_clashing_columns(spark, docs, tmp_path):
@@ -46,8 +47,17 @@ def test_report_stage_and_clashing_columns(spark, docs, tmp_path):
     got = d.report(d.scan(frame.selectExpr("*", "1 AS items", "2 AS spans", "3 AS n_words"), bench)).collect()
     assert sorted((r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in got) == [(0, 9, 2, True), (0, 9, 2, True), (1, 0, 0, False), (2, 0, 0, False)]
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
-    kept = d.stage(spark, frame, str(tmp_path))
-    assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+    odd = frame.selectExpr("*", "'own' AS N_words", "1 AS items", "2 AS __text", "3 AS `a.b`")
+    kept = d.stage(spark, odd, str(tmp_path))
+    assert kept.columns == odd.columns and sorted((r.doc_id, r["N_words"], r["items"]) for r in kept.collect()) == [(1, "own", 1), (2, "own", 1)]
+
+
+def test_a_long_item_and_a_window_of_many_items_are_split(spark, docs):
+    long = " ".join(f"w{i}" for i in range(3000))
+    items = [(i, "one and the same short text") for i in range(500)] + [(1000, long), (1000, "more of this item here")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["it has one and the same short text", " ".join(long.split()[100:200]), "more of this item here", "clean"]
+    assert rows(d.scan(docs(texts), bench, block_pairs=900)) == brute(texts, items)
 
 
 def test_empty_tables(spark, docs):
