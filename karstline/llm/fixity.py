@@ -3,9 +3,10 @@
 Records lie in files, in order, each at a byte offset.  A record's hash is a
 leaf; every ``FANOUT`` nodes that follow one another in a file hash into a
 parent that covers their offset range, up to one root a file, and the files'
-roots hash on to one root of the archive.  Two replicas are compared by their
-roots; below a mismatch only the children of mismatching nodes are compared,
-level by level, until the records that differ are left.
+roots hash on, ``FANOUT`` neighbouring file numbers at a time, to one root of
+the archive.  Two replicas are compared by that root; below a mismatch only the
+children of mismatching nodes are compared, level by level, first down to files
+and then inside them, until the records that differ are left.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql.window import Window
 from karstline.llm.common import checkpoint, read_table
 
 FANOUT = 16
-#: Ids in one file; ids are spread over files by range, so that no file grows with the archive.
+#: Ids in one file; ids are spread over files by range.
 FILE_IDS = 4096
+#: Records whose places are counted in one task, about, and copies of a record that are written out in one step.
+PART_RECORDS, COPIES = 100_000, 4096
 
 
 def warc_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", file_ids: int = FILE_IDS) -> DataFrame:
@@ -37,13 +40,34 @@ def leaves(records: DataFrame) -> DataFrame:
     """``(file, level 0, node, from_offset, to_offset, key, hash)`` of each record in its file's order.
 
     The order is by key (null first), then hash, so equal records are neighbours.
-    The window is by file, and a file's size is bounded by its range of ids.
+    They are counted before they are ordered, and files are ordered in ranges of
+    about ``PART_RECORDS``: neither a record's copies nor a file, however large,
+    meet in one task.
     """
+    order = [F.asc_nulls_first("file"), F.asc_nulls_first("key"), "hash", "size"]
     hashed = records.select("file", "key", F.length("record").cast("long").alias("size"), F.sha2("record", 256).alias("hash"))
-    order = Window.partitionBy("file").orderBy(F.asc_nulls_first("key"), "hash", "size")
-    end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = hashed.select("file", (F.row_number().over(order) - 1).cast("long").alias("node"), (end - F.col("size")).alias("from_offset"), end.alias("to_offset"), "key", "hash")
-    return placed.select("file", F.lit(0).alias("level"), "node", "from_offset", "to_offset", "key", "hash")
+    groups = hashed.groupBy("file", "key", "hash", "size").agg(F.count("*").alias("n"))
+    groups = checkpoint(groups)
+    parts = max(1, -(-groups.count() // PART_RECORDS))
+    # the number of its range is fixed by the checkpoint
+    ranged = checkpoint(groups.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    bytes_of = F.col("n") * F.col("size")
+    parts_of = ranged.groupBy("file", "part").agg(F.sum("n").alias("records"), F.sum(bytes_of).alias("bytes"))
+    # a row for each file and range that it lies in
+    earlier = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts_of.select(
+        F.col("file").alias("f"), F.col("part").alias("p"), F.coalesce(F.sum("records").over(earlier), F.lit(0)).alias("records"), F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("bytes")
+    )
+    before = Window.partitionBy("file", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumns({"rank": F.coalesce(F.sum("n").over(before), F.lit(0)), "offset": F.coalesce(F.sum(bytes_of).over(before), F.lit(0))})
+    placed = placed.join(starts, placed["file"].eqNullSafe(starts["f"]) & (placed["part"] == starts["p"])).withColumns({"rank": F.col("rank") + F.col("records"), "offset": F.col("offset") + F.col("bytes")})
+    # copies are written out in two steps, so that no array is as long as their number
+    steps = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))).alias("step")
+    stepped = placed.select("file", "key", "hash", "size", "n", "rank", "offset", steps)
+    copies = F.explode(F.sequence(F.lit(0), F.least(F.lit(COPIES), F.col("n") - F.col("step") * COPIES).cast("int") - 1)).alias("copy")
+    one = stepped.select("file", "key", "hash", "size", "rank", "offset", "step", copies).withColumn("nth", F.col("step") * COPIES + F.col("copy"))
+    start = F.col("offset") + F.col("nth") * F.col("size")
+    return one.select("file", F.lit(0).alias("level"), (F.col("rank") + F.col("nth")).alias("node"), start.alias("from_offset"), (start + F.col("size")).alias("to_offset"), "key", "hash")
 
 
 def _parents(nodes: DataFrame, by: list[str], level: int, fanout: int) -> DataFrame:
@@ -65,58 +89,86 @@ def file_trees(records: DataFrame, *, fanout: int = FANOUT) -> tuple[list[DataFr
     return levels, levels[-1]
 
 
-def archive_root(roots: DataFrame, *, fanout: int = FANOUT) -> str | None:
-    """The one hash of an archive from its files' roots, in the order of the files; None if it has none.
+def archive_levels(roots: DataFrame, first: int, last: int, *, fanout: int = FANOUT) -> list[DataFrame]:
+    """The levels ``(node, from_offset, to_offset, hash)`` above files: their roots, then groups of neighbours, up to one node.
 
-    Files are grouped by their numbers, ``fanout`` neighbours at a time, so the
-    number of nodes falls by up to ``fanout`` with each level and no level passes
-    through one task before the last.
+    Files are numbered from ``first``; ``last`` sets the height.  The number of nodes
+    falls with each level, and no level passes through one task before the last.
     """
-    level = roots.select(F.col("file").alias("node"), "from_offset", "to_offset", "hash")
-    while True:
-        low, high, n = level.agg(F.min("node"), F.max("node"), F.count("*")).first()
-        if not n:
-            return None
-        if low == high:
-            return level.first()["hash"]
-        level = checkpoint(_parents(level, [], 0, fanout).select("node", "from_offset", "to_offset", "hash"))
+    levels = [roots.select((F.col("file") - first).alias("node"), "from_offset", "to_offset", "hash")]
+    most = last - first
+    while most:
+        most //= fanout
+        levels.append(checkpoint(_parents(levels[-1], [], 0, fanout).select("node", "from_offset", "to_offset", "hash")))
+    return levels
+
+
+def _files(*roots: DataFrame) -> tuple[int, int] | None:
+    """The least and greatest file number of all replicas, None if they have no files."""
+    found = [r.agg(F.min("file"), F.max("file")).first() for r in roots]
+    found = [(int(a), int(b)) for a, b in found if a is not None]
+    return (min(a for a, _ in found), max(b for _, b in found)) if found else None
+
+
+def archive_root(roots: DataFrame, *, fanout: int = FANOUT) -> str | None:
+    """The one hash of an archive from its files' roots, in the order of the files; None if it has none."""
+    span = _files(roots)
+    return None if span is None else archive_levels(roots, *span, fanout=fanout)[-1].first()["hash"]
 
 
 def _differ(a: Column, b: Column) -> Column:
     return ~a.eqNullSafe(b)
 
 
+def _mismatches(a: DataFrame, b: DataFrame, by: list[str], above: DataFrame | None, fanout: int, key: bool = False) -> DataFrame:
+    """Nodes of one level that differ, among the children of the nodes ``(by, parent)`` that differ above."""
+    names = ["from_offset", "to_offset", "hash"] + ["key"] * key
+    x, y = (f.select(*by, "node", *[F.col(c).alias(f"{s}_{c}") for c in names]) for f, s in ((a, "l"), (b, "r")))
+    if above is not None:
+        x, y = (f.withColumn("parent", F.floor(F.col("node") / fanout)).join(above, [*by, "parent"], "left_semi").drop("parent") for f in (x, y))
+    moved = _differ(F.col("l_from_offset"), F.col("r_from_offset")) | _differ(F.col("l_to_offset"), F.col("r_to_offset"))
+    return x.join(y, [*by, "node"], "full").where(_differ(F.col("l_hash"), F.col("r_hash")) | moved)
+
+
 def audit(left: DataFrame, right: DataFrame, *, fanout: int = FANOUT) -> DataFrame:
     """Records that differ between two replicas ``(file, key, record)``.
 
     Returns ``file, node, key, from_offset, to_offset (of the left replica, the
     right's where the left has no such record), left_hash, right_hash``: one row for
     each leaf under mismatching branches whose hash differs, with a null hash where
-    a replica has no such leaf.  A lost or added record moves those behind it in
-    its file, which are then reported too: fixity is by place.  Null keys come first
-    in their file, equal records are kept as neighbours, and empty replicas differ
-    in every leaf of the other.  Trees of unlike height are compared from the lower root.
+    a replica has no such leaf.  Equal archive roots end the audit.  A lost or added
+    record moves those behind it in its file, which are then reported too: fixity is
+    by place.  Null keys come first in their file, equal records are kept as
+    neighbours, records without a file number are in file -1, and empty replicas
+    differ in every leaf of the other.  Trees of unlike height are compared from the
+    lower root.  Other columns are left out.
     """
+    left, right = (r.select(F.coalesce(F.col("file").cast("long"), F.lit(-1)).alias("file"), F.col("key").cast("long").alias("key"), "record") for r in (left, right))
     a, _ = file_trees(left, fanout=fanout)
     b, _ = file_trees(right, fanout=fanout)
     top = max(len(a), len(b)) - 1
-    names = ["from_offset", "to_offset", "key", "hash"]
     for levels in (a, b):
         while len(levels) <= top:
             levels.append(checkpoint(_parents(levels[-1], ["file"], len(levels), fanout)))
-    suspects = None
-    for level in range(top, -1, -1):
-        x = a[level].select(F.col("file"), F.col("node"), *[F.col(c).alias(f"l_{c}") for c in names])
-        y = b[level].select(F.col("file"), F.col("node"), *[F.col(c).alias(f"r_{c}") for c in names])
-        if suspects is not None:
-            parent = F.floor(F.col("node") / fanout)
-            children = lambda f: f.withColumn("parent", parent).join(suspects, ["file", "parent"], "left_semi").drop("parent")  # noqa: B023, E731
-            x, y = children(x), children(y)
-        both = x.join(y, ["file", "node"], "full")
-        moved = _differ(F.col("l_from_offset"), F.col("r_from_offset")) | _differ(F.col("l_to_offset"), F.col("r_to_offset"))
-        bad = both.where(_differ(F.col("l_hash"), F.col("r_hash")) | moved)
-        if level:
-            suspects = checkpoint(bad.select("file", F.col("node").alias("parent")))
+    span = _files(a[-1], b[-1])
+    suspects = a[0].select("file", F.col("node").alias("parent")).limit(0)
+    if span is not None:
+        above, upper = None, [archive_levels(f, *span, fanout=fanout) for f in (a[-1], b[-1])]
+        for x, y in zip(*(reversed(u) for u in upper), strict=True):
+            above = checkpoint(_mismatches(x, y, [], above, fanout).select(F.col("node").alias("parent")))
+            if above.isEmpty():
+                break
+        # the roots of these files differ, so their children are next
+        suspects = above.select((F.col("parent") + span[0]).alias("file"))
+        suspects = suspects if top == 0 else suspects.withColumn("parent", F.lit(0).cast("long"))
+    for level in range(top - 1, 0, -1):
+        suspects = checkpoint(_mismatches(a[level], b[level], ["file"], suspects, fanout).select("file", F.col("node").alias("parent")))
+    if top == 0:
+        # files of one record each: their roots are the leaves
+        a[0], b[0] = (f.join(suspects.select("file"), "file", "left_semi") for f in (a[0], b[0]))
+        bad = _mismatches(a[0], b[0], ["file"], None, fanout, True)
+    else:
+        bad = _mismatches(a[0], b[0], ["file"], suspects, fanout, True)
     return bad.select(
         "file", "node", F.coalesce("l_key", "r_key").alias("key"), F.coalesce("l_from_offset", "r_from_offset").alias("from_offset"),
         F.coalesce("l_to_offset", "r_to_offset").alias("to_offset"), F.col("l_hash").alias("left_hash"), F.col("r_hash").alias("right_hash"),

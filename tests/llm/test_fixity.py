@@ -66,3 +66,30 @@ def test_null_keys_repeated_rows_and_pages_with_nulls(spark):
     assert b"Content-Length: 2\r\n\r\n\xc3\xa9\r\n\r\n" in bytes(a.where("key = 1").first().record)
     assert found(f.audit(a, a.where("key IS NOT NULL"))) == [(-1, 0, None)]
     assert len(found(f.audit(a, a.dropDuplicates()))) == 1
+
+
+def test_equal_archives_are_told_by_one_hash(spark, monkeypatch):
+    rows = sample()
+    compared = []
+    plain = f._mismatches
+    monkeypatch.setattr(f, "_mismatches", lambda *x, **y: compared.append(x[2]) or plain(*x, **y))
+    assert found(f.audit(records(spark, rows), records(spark, rows))) == []
+    assert compared.count([]) == 1
+
+
+def test_a_large_file_and_many_copies_are_placed_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(f, "PART_RECORDS", 16)
+    monkeypatch.setattr(f, "COPIES", 7)
+    rows = [(0, None, b"same")] * 50 + [(0, 5, b"other")] * 30 + [(0, i, f"r{i}".encode()) for i in range(10, 60)] + [(None, 3, b"no file"), (9_000_000, 1, b"far")]
+    hurt = [*rows[:90], (0, 20, b"r2!"), *rows[91:]]
+    assert rows[90] == (0, 20, b"r20")
+    placed = sorted((r.node, r.from_offset, r.to_offset, r.key) for r in f.leaves(records(spark, rows)).where("file = 0").collect())
+    at, want = 0, []
+    for n, (_, k, rec) in enumerate(sorted(rows[:130], key=lambda r: (r[1] is not None, r[1] or 0))):
+        want.append((n, at, at + len(rec), k))
+        at += len(rec)
+    assert placed == want
+    assert found(f.audit(records(spark, rows), records(spark, hurt), fanout=4)) == [(0, 90, 20)]
+    assert found(f.audit(records(spark, rows), records(spark, rows[:-1]))) == [(9_000_000, 0, 1)]
+    one = [(i, i, bytes([i])) for i in range(40)]
+    assert found(f.audit(records(spark, one), records(spark, [*one[:7], (7, 7, b"?"), *one[8:]]))) == [(7, 0, 7)]
