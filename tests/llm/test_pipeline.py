@@ -37,7 +37,7 @@ def write(spark, docs, folder):
 def line_dedup(rows):
     from test_linededup import brute
 
-    gone = brute(rows, 1, 20)
+    gone = brute(rows, 1, 0)
     return [(i, None if t is None else "\n".join(s for k, s in enumerate(t.split("\n")) if k not in gone[i])) for i, t in rows]
 
 
@@ -59,7 +59,7 @@ def test_run_equals_plain_stages(spark, docs, tmp_path):
     folder = str(tmp_path)
     frame, texts = write(spark, docs, folder)
     model = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
-    rows = [(i, t) for i, t in enumerate(texts) if model.score(t)[0] < toxicity.THRESHOLD]
+    rows = [(i, t) for i, (t, (s, _)) in enumerate(zip(texts, model.score(texts), strict=True)) if s < toxicity.THRESHOLD]
     assert 0 < len(texts) - len(rows) <= 40
     sizes = [len(rows)]
     for stage in (line_dedup, near_dedup, lambda r: decontaminate(r, [(1, LEAK), (2, "not in any document at all, this one")])):
@@ -76,8 +76,41 @@ def test_run_equals_plain_stages(spark, docs, tmp_path):
         assert stage(spark, frame, folder).columns == frame.columns
 
 
+def test_null_and_repeated_ids_and_clashing_columns_in_every_stage(spark, docs, tmp_path):
+    folder = str(tmp_path)
+    frame, texts = write(spark, docs, folder)
+    rng = random.Random(2)
+    more = [" ".join(f"own{rng.randrange(10**6)}" for _ in range(30)) for _ in range(4)]
+    odd = docs([(None, more[0]), (7000, more[1]), (7000, more[2]), (7000, more[2]), (None, None), (7001, more[3]), (7002, None), (7003, "")])
+    odd = frame.unionAll(odd).selectExpr("*", "'a' AS score", "'b' AS N_WORDS", "'c' AS items", "'d' AS evidence", "'e' AS n_lines", "'f' AS __text", "'g' AS `a.b`", "'h' AS node", "'i' AS kept", "'j' AS dropped")
+    out = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, folder)
+        assert out.schema.names == odd.schema.names
+        out.write.parquet(f"{folder}/{name}")
+        out = spark.read.parquet(f"{folder}/{name}")
+        rows = out.where("doc_id IS NULL OR doc_id >= 7000").collect()
+        # nothing of these rows is toxic, repeated or leaked but the copy of a row, which may lose its text
+        assert sorted((str(r.doc_id), r.text) for r in rows if r.text) in (
+            sorted((str(i), t) for i, t in ((None, more[0]), (7000, more[1]), (7000, more[2]), (7000, more[2]), (7001, more[3]))),
+            sorted((str(i), t) for i, t in ((None, more[0]), (7000, more[1]), (7000, more[2]), (7001, more[3]))),
+        )
+        assert len(rows) == 8
+        assert {tuple(r)[5:] for r in out.collect()} == {tuple("abcdefghij")}
+    last = corpus_pipeline.STAGES[-1][1](spark, out, folder)
+    assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and last.count() == out.count()
+
+
+def test_empty_tables(spark, docs, tmp_path):
+    folder = str(tmp_path)
+    docs([]).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, folder).collect() == []
+
+
 def test_each_operator_has_one_query():
     names = registry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near-dedup", "decontamination", "byte-level BPE"]
