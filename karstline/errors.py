@@ -42,6 +42,12 @@ class AdmissionDenied(EngineError):
     error_class = "memory_admission_denied"
 
 
+class AllocationFailed(EngineError):
+    """Memory that admission granted could not be had."""
+
+    error_class = "memory_allocation_failed"
+
+
 class OwnershipViolation(EngineError):
     error_class = "ownership_contract_violation"
 
@@ -52,14 +58,16 @@ class InvalidInput(EngineError):
     error_class = "invalid_input"
 
 
-#: Text that a raised guard carries, and the class it stands for.
-RAISED = {"UNSIGNED_OVERFLOW": "unsigned_overflow"}
+#: Text that a raised guard or a failed task carries, and the class it stands for.
+RAISED = {"UNSIGNED_OVERFLOW": "unsigned_overflow", "UNABLE_TO_ACQUIRE_MEMORY": "memory_allocation_failed", "OutOfMemoryError": "memory_allocation_failed"}
 
 
 def classify(error: BaseException) -> str:
     """The class of any error: our own, else by Spark's condition, else by its text."""
     if isinstance(error, EngineError):
         return error.error_class
+    if isinstance(error, MemoryError):
+        return AllocationFailed.error_class
     condition = None
     for name in ("getCondition", "getErrorClass"):
         try:

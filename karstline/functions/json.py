@@ -8,7 +8,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 
 def _number(x: float) -> str:
@@ -51,9 +51,21 @@ def _finite(text: str) -> float:
     return x
 
 
+def _canonical_each(texts: pd.Series) -> pd.Series:
+    """The canonical texts; equal texts of a batch are read once."""
+    codes, known = pd.factorize(texts)
+    done = pd.array([canonical(t) for t in known] + [None], dtype=object)
+    return pd.Series(done[codes])
+
+
 @F.pandas_udf(StringType())
 def _canonical_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(canonical, na_action="ignore")
+    return _canonical_each(texts)
+
+
+@F.pandas_udf(BooleanType())
+def _same_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else x == y for x, y in zip(_canonical_each(a), _canonical_each(b), strict=True)], dtype=object)
 
 
 def canonical_json(text: Column) -> Column:
@@ -61,5 +73,10 @@ def canonical_json(text: Column) -> Column:
 
 
 def json_eq(a: Column, b: Column) -> Column:
-    """Equal canonical texts; null if either side is a SQL null (JSON null is a value)."""
-    return canonical_json(a) == canonical_json(b)
+    """Equal canonical texts; null if either side is a SQL null (JSON null is a value).
+
+    Equal texts are equal as they are; only the others are read, both sides at once.
+    """
+    unlike = a != b
+    read = _same_udf(F.when(unlike, a), F.when(unlike, b))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("boolean")).otherwise(F.coalesce(read, F.lit(True)))

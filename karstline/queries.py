@@ -184,6 +184,22 @@ def float64_canonical_order(spark, sf):
     return ops.order_by_float64(t, 0, rank="place").to_df().select(F.col("f").cast("string").alias("f"), "place")
 
 
+_SPECIAL = {1: "NULL", 2: "double('NaN')", 3: "double('Infinity')", 4: "double('-Infinity')", 5: "double('0.0')", 6: "double('-0.0')"}
+
+
+@_query("""
+SELECT kind, CASE WHEN kind = 0 THEN x END AS value,
+  row_number() OVER (ORDER BY CASE kind WHEN 1 THEN 0 WHEN 4 THEN 1 WHEN 3 THEN 3 WHEN 2 THEN 4 ELSE 2 END, CASE WHEN kind = 0 THEN x ELSE 0 END, CASE kind WHEN 6 THEN 0 ELSE 1 END) AS place
+FROM (SELECT CASE WHEN l_orderkey % 97 BETWEEN 1 AND 6 THEN l_orderkey % 97 ELSE 0 END AS kind, CAST(CASE WHEN l_linenumber % 2 = 0 THEN -l_extendedprice ELSE l_extendedprice END AS DOUBLE) AS x FROM lineitem)
+""")
+def float64_order_lineitem(spark, sf):
+    """Canonical order over a whole table, special values among its own, as each row's place."""
+    special = " ".join(f"WHEN {k} THEN {v}" for k, v in _SPECIAL.items())
+    kind = "CASE WHEN l_orderkey % 97 BETWEEN 1 AND 6 THEN l_orderkey % 97 ELSE 0 END"
+    t = _table(spark, sf, "lineitem", {"kind": f"cast({kind} AS bigint)", "x": f"CASE l_orderkey % 97 {special} ELSE cast(if(l_linenumber % 2 = 0, -l_extendedprice, l_extendedprice) AS double) END"})
+    return ops.order_by_float64(t, 1, rank="place").to_df().select("kind", F.when(F.col("kind") == 0, F.col("x")).alias("value"), "place")
+
+
 def _ieee(name: str, f: Callable, sql: str) -> None:
     odd = "CASE WHEN l_linenumber = 1 THEN CAST('NaN' AS DOUBLE) WHEN l_linenumber = 2 THEN NULL ELSE {} END"
     a, b = odd.format("l_tax"), "CASE WHEN l_orderkey % 3 = 0 THEN CAST('NaN' AS DOUBLE) ELSE l_discount END"
