@@ -20,7 +20,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, cached_property
 from itertools import accumulate, chain, pairwise
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karstline.llm.common import bounded, list_array, read_table, small_batches
+from karstline.llm.common import bounded, freed, list_array, read_table, small_batches
 
 #: Under the length of an ordinary document.
 CHUNK_CHARS = 1024
@@ -49,7 +49,7 @@ VOCABULARY_LIMIT = 64 << 20
 class Pieces(dict):
     """Ids by pre-token, remembered up to a bounded number of pre-tokens."""
 
-    LIMIT = 150_000
+    LIMIT = 100_000
 
     def __init__(self, encode):
         super().__init__()
@@ -94,20 +94,33 @@ class Codec:
     """A rank file and its pattern: pre-tokenise, encode pieces, decode ids."""
 
     def __init__(self, rank_file: bytes, pattern: str, others: dict[int, int]):
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
-        core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.find = regex.compile(pattern).findall
-        self.others = others
-        # beyond the first plane any character, as a set of single ones would be searched one by one
-        self.may_differ = re.compile(f"[{''.join(re.escape(chr(c)) for c in others if c < 0x10000)}\U00010000-\U0010FFFF]").search
-        self.core = core._core_bpe
-        self.pieces = Pieces(self.core.encode_single_piece)
+        self.pattern, self.others, self.rank_file = pattern, others, rank_file
+        ranks = self.ranks()
         self.bytes_of = {i: b for b, i in ranks.items()}
         size = max(self.bytes_of, default=-1) + 1
         self.raw = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), np.uint8)
         self.lengths = np.array([len(self.bytes_of.get(i, b"")) for i in range(size)], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
+    def ranks(self) -> dict[bytes, int]:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.rank_file.splitlines())}
+
+    # what only encoding needs is made where something is encoded
+
+    @cached_property
+    def pieces(self) -> Pieces:
+        core = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks(), special_tokens={})
+        return Pieces(core._core_bpe.encode_single_piece)
+
+    @cached_property
+    def find(self):
+        return regex.compile(self.pattern).findall
+
+    @cached_property
+    def may_differ(self):
+        # beyond the first plane any character, as a set of single ones would be searched one by one
+        return re.compile(f"[{''.join(re.escape(chr(c)) for c in self.others if c < 0x10000)}\U00010000-\U0010FFFF]").search
+
     def pre_tokenise(self, text: str) -> list[str]:
         if text.isascii() or not self.may_differ(text):
             return self.find(text)
@@ -198,10 +211,13 @@ def rank_file(path: str) -> bytes:
 
 def encode(
     docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text",
-    chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, deal_chunks: int = DEAL_CHUNKS,
+    chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, deal_chunks: int = DEAL_CHUNKS, decoded: bool = False,
 ) -> DataFrame:
     """Ids of every whole text: ``(id_col, ids array<int>)``, a row for each input row.
 
+    With ``decoded`` a third column of that name has what ``decode`` makes of the ids, in
+    the same Python worker.
+
     A null or empty text has no ids; a null or repeated id is kept as it is;
     equal texts of over ``deal_chunks`` chunks are encoded once; columns other than the two are left out,
     whatever their names.  Special tokens are ordinary text.
@@ -210,7 +226,7 @@ def encode(
         raise ValueError("overlap_chars must be over 0 and under chunk_chars")
     shared = docs.sparkSession.sparkContext.broadcast((rank_file(vocabulary), pattern, stand_ins(pattern)))
     kind = docs.schema[id_col].dataType
-    out = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    out = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.BinaryType())] * decoded)
     rows = bounded(docs).select(F.col(id_col), F.col(text_col).alias("__text"))
     step = chunk_chars - overlap_chars
     is_long = F.coalesce(F.length("__text"), F.lit(0)) > overlap_chars + step * deal_chunks
@@ -224,9 +240,12 @@ def encode(
         own = codec(*shared.value)
         for b in small_batches(batches):
             ids = [encode_here(own, t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), list_array(np.concatenate(ids), [len(x) for x in ids], pa.int32())], names=[id_col, "ids"])
+            columns = [b.column(0), list_array(np.concatenate(ids), [len(x) for x in ids], pa.int32())]
+            if decoded:
+                columns.append(pa.array(map(own.decode, ids), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    short = rows.where(~is_long).mapInArrow(encode_short, out)
+    short = rows.where(~is_long).mapInArrow(freed(encode_short), out)
 
     keyed = rows.where(is_long).withColumn("__key", F.sha2("__text", 256))
     starts = F.sequence(F.lit(0), F.ceil((F.length("__text") - overlap_chars) / step).cast("int") - 1)
@@ -268,12 +287,14 @@ def encode(
                 ids.append(np.array(own.encode_pieces(cut(parcel, lengths)), np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), list_array(np.concatenate(ids), [len(x) for x in ids], pa.int32())], names=["__key", "k", "ids"])
 
-    matched = chunks.mapInArrow(pre_tokenise, "__key string, k int, chunk string, lengths array<int>")
+    matched = chunks.mapInArrow(freed(pre_tokenise), "__key string, k int, chunk string, lengths array<int>")
     parcels = matched.groupBy("__key").applyInPandas(join_chunks, "__key string, k int, parcel string, lengths array<int>")
     # the result is one array a text, so its ids meet again; the work on them is done by then
-    done = parcels.repartition("__key", "k").mapInArrow(encode_parcels, "__key string, k int, ids array<int>")
+    done = parcels.repartition("__key", "k").mapInArrow(freed(encode_parcels), "__key string, k int, ids array<int>")
     joined = done.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts")).select("__key", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
-    return short.unionByName(keyed.select(id_col, "__key").join(joined, "__key").select(id_col, "ids"))
+    if decoded:
+        joined = decode(joined, vocabulary, pattern)
+    return short.unionByName(keyed.select(id_col, "__key").join(joined, "__key").select(*out.names))
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, *, ids_col: str = "ids") -> DataFrame:
@@ -290,13 +311,13 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, *, ids_col: str =
             texts = [own.decode(ids[i].values.to_numpy()) if ids[i].is_valid else None for i in range(len(ids))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], names=[*rest, "decoded"])
 
-    return bounded(encoded).select(*rest).mapInArrow(run, schema)
+    return bounded(encoded).select(*rest).mapInArrow(freed(run), schema)
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str, **options) -> DataFrame:
     """``encode`` then ``decode``, each result as a count or hash."""
     id_col = options.get("id_col", "doc_id")
-    done = decode(encode(docs, vocabulary, pattern, **options), vocabulary, pattern)
+    done = encode(docs, vocabulary, pattern, decoded=True, **options)
     return done.select(
         id_col, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

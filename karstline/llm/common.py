@@ -9,16 +9,20 @@ over the corpus.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key with more than this part of the rows is joined by a broadcast: there are fewer such keys than HOT_PARTS.
+HOT_PARTS = 1000
 #: Bytes of an Arrow batch between the JVM and Python.
 BATCH_BYTES = 4 << 20
 _BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -94,7 +98,7 @@ def is_held_out(column, parts: int):
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bounded number of words."""
 
-    LIMIT = 150_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -141,6 +145,46 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Gives memory that this process no longer needs back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
+def freed(run):
+    """``run`` over Arrow batches, after which the worker gives back what it no longer needs.
+
+    Workers live on from stage to stage and would each keep the most that they ever held.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row a key and in ``times`` the key's number of rows.
+
+    The keys of over 1 / HOT_PARTS of the ``total`` rows, fewer than HOT_PARTS, are
+    broadcast, so no key's rows meet in one task.
+    """
+    is_hot = F.col("times") * HOT_PARTS > total
+    hot, cold = table.where(is_hot).drop("times"), table.where(~is_hot).drop("times")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """The same columns as c0, c1 and so on: ``mapInArrow`` takes no names with dots."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karstline.llm.common import alnum_words, bounded, checkpoint, free_names, fresh_name, named, numbered, read_table, small_batches
+from karstline.llm.common import alnum_words, bounded, checkpoint, free_names, freed, fresh_name, named, numbered, read_table, small_batches
 
 WINDOW_WORDS = 8
 MIN_ITEMS = 2
@@ -78,7 +78,7 @@ def window_pairs(items: DataFrame, size: int) -> DataFrame:
                         ids, found = [], []
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.binary())], names=["item", "words"])
 
-    return bounded(items).mapInArrow(run, "item string, words binary").distinct()
+    return bounded(items).mapInArrow(freed(run), "item string, words binary").distinct()
 
 
 def patterns_of(pairs: Iterable[tuple[str, bytes]]) -> dict[tuple[bytes, ...], list]:
@@ -171,7 +171,7 @@ def scan(
     for n, patterns in enumerate(pattern_blocks(window_pairs(items, window), block_pairs)):
         if n and n % PASSES == 0:
             out = checkpoint(out)
-        out = out.mapInArrow(one_pass(spark.sparkContext.broadcast(patterns)), schema)
+        out = out.mapInArrow(freed(one_pass(spark.sparkContext.broadcast(patterns))), schema)
     out = out.toDF(*names)
     return out if keep_text else out.drop(body)
 

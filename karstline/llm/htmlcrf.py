@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from karstline.llm.common import bounded, free_names, fresh_name, named, numbered, read_table, small_batches
+from karstline.llm.common import bounded, free_names, freed, fresh_name, named, numbered, read_table, small_batches
 
 #: Labelled pages that are written for training, and passes over them.
 TRAINING_PAGES, PASSES = 500, 120
@@ -489,7 +489,7 @@ def extract(pages: DataFrame, field: Field, *, html_col: str = "html", keep: tup
             texts = [main_text(own, p) for p in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema).toDF(*keep, *added)
+    return rows.mapInArrow(freed(run), schema).toDF(*keep, *added)
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karstline.llm.common import WordHashes, as_long, bounded, checkpoint, fresh_name, list_array, mix64, named, plain_words, read_table, slim, small_batches
+from karstline.llm.common import WordHashes, as_long, bounded, checkpoint, freed, fresh_name, list_array, looked_up, mix64, named, plain_words, read_table, slim, small_batches
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -36,8 +36,6 @@ BITS = 2
 SLACK = 0.2
 #: Ids or nodes that are broadcast at most (64 bytes each at most); more are joined by a shuffle.
 BROADCAST_IDS = 200_000
-#: A key with more than this part of the rows is joined by a broadcast: there are fewer such keys than HOT_PARTS.
-HOT_PARTS = 1000
 #: Nodes of one bucket that are compared with each other in one task, about.
 TILE_NODES = 4000
 
@@ -138,25 +136,13 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
             columns = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), *lists]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "n_shingles", "k1", "k2", "buckets", "bits"])
 
-    return rows.mapInArrow(run, "id long, h long, n_shingles long, k1 long, k2 long, buckets array<long>, bits array<long>")
+    return rows.mapInArrow(freed(run), "id long, h long, n_shingles long, k1 long, k2 long, buckets array<long>, bits array<long>")
 
 
 def set_key(found: np.ndarray) -> np.ndarray:
     return np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
 
 
-def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """``rows`` with the columns of ``table``, which has one row a key and in ``times`` the key's number of rows.
-
-    The keys of over 1 / HOT_PARTS of the ``total`` rows, fewer than HOT_PARTS, are
-    broadcast, so no key's rows meet in one task.
-    """
-    is_hot = F.col("times") * HOT_PARTS > total
-    hot, cold = table.where(is_hot).drop("times"), table.where(~is_hot).drop("times")
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` with the least node of each component, by alternating large and small stars.
 
@@ -208,7 +194,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    return joined.mapInArrow(freed(run), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -282,7 +268,7 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
             columns = [b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), list_array(np.concatenate(marks), [MARKS // 64] * len(found), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "hashes", "marks"]).filter(right)
 
-    return rows.select("node", "k1", "k2", "text").mapInArrow(run, "node long, n long, hashes binary, marks array<long>")
+    return rows.select("node", "k1", "k2", "text").mapInArrow(freed(run), "node long, n long, hashes binary, marks array<long>")
 
 
 def _linked(multi: DataFrame, traits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

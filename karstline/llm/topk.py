@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from karstline.llm.common import bounded, checkpoint, named, read_table, small_batches
+from karstline.llm.common import bounded, checkpoint, freed, named, read_table, small_batches
 
 TOP = 5
 SCALE = 256
@@ -201,7 +201,7 @@ def exact_top_k(
 
     def answers(asked: DataFrame) -> DataFrame:
         dealt = held.unionByName(asked).repartition(parts, "v").sortWithinPartitions("v", "asks")
-        return dealt.mapInArrow(_search(k), "number long, vec_id long, score decimal(38,0)")
+        return dealt.mapInArrow(freed(_search(k)), "number long, vec_id long, score decimal(38,0)")
 
     asked = queries.select(of.alias("v"), F.lit(True).alias("asks"), "number", "vec_id", "components", "times")
     found = answers(asked.withColumn("bound", F.lit(None).cast("decimal(38,0)")))
