@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karstline.llm.common import bounded, freed, list_array, read_table, small_batches
+from karstline.llm.common import bounded, freed, list_array, read_table, small_batches, tidy
 
 #: Under the length of an ordinary document.
 CHUNK_CHARS = 1024
@@ -337,6 +337,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last stage of the pipeline: the digests of every document that is left."""
+    tidy(spark)
     return digests(docs, *_public())
 
 

@@ -160,6 +160,16 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collects the driver's garbage, in the JVM and in this process.
+
+    Plans, checkpoints, broadcasts and shuffles that nothing refers to any more go
+    then, not only when the heap is full.
+    """
+    spark.sparkContext._jvm.System.gc()
+    trim()
+
+
 def freed(run):
     """``run`` over Arrow batches, after which the worker gives back what it no longer needs.
 
@@ -176,13 +186,18 @@ def freed(run):
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
     """``rows`` with the columns of ``table``, which has one row a key and in ``times`` the key's number of rows.
 
-    The keys of over 1 / HOT_PARTS of the ``total`` rows, fewer than HOT_PARTS, are
-    broadcast, so no key's rows meet in one task.
+    Keys are whole numbers.  Those of over 1 / HOT_PARTS of the ``total`` rows are
+    joined by a broadcast, so no key's rows meet in one task; they are first brought
+    to the driver, fewer than HOT_PARTS if there are ``total`` rows or fewer.
     """
     is_hot = F.col("times") * HOT_PARTS > total
-    hot, cold = table.where(is_hot).drop("times"), table.where(~is_hot).drop("times")
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+    hot = table.where(is_hot).select(*keys).collect()
+    if not hot:
+        return rows.join(table.drop("times"), keys)
+    text = "concat_ws(':', " + ", ".join(f"cast(`{k}` AS string)" for k in keys) + ")"
+    among = F.expr(f"{text} IN (" + ", ".join("'" + ":".join(str(r[k]) for k in keys) + "'" for r in hot) + ")")
+    hot_rows = rows.where(among).join(F.broadcast(table.where(is_hot).drop("times")), keys)
+    return hot_rows.unionByName(rows.where(~among).join(table.where(~is_hot).drop("times"), keys))
 
 
 def numbered(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karstline.llm.common import alnum_words, bounded, checkpoint, free_names, freed, fresh_name, named, numbered, read_table, small_batches
+from karstline.llm.common import alnum_words, bounded, checkpoint, free_names, freed, fresh_name, named, numbered, read_table, small_batches, tidy
 
 WINDOW_WORDS = 8
 MIN_ITEMS = 2
@@ -95,7 +95,7 @@ def pattern_blocks(pairs: DataFrame, block_pairs: int) -> Iterator[dict[tuple[by
     pairs = checkpoint(pairs)
     blocks = max(1, -(-pairs.count() // block_pairs))
     if blocks == 1:
-        yield patterns_of(pairs.toLocalIterator())
+        yield patterns_of(pairs.collect())
         return
     of = F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).alias("block")
     dealt = pairs.select(of, "item", "words").repartition(blocks, "block").sortWithinPartitions("block")
@@ -192,6 +192,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with windows of any benchmark item go, all others stay whole."""
+    tidy(spark)
     found = scan(docs, read_table(spark, sf_dir, "benchmark"), keep_text=True)
     items = free_names(docs.columns, *ADDED)[-1]
     return found.where(F.size(named(items)) == 0).select(*map(named, docs.columns))

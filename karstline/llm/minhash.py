@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karstline.llm.common import WordHashes, as_long, bounded, checkpoint, freed, fresh_name, list_array, looked_up, mix64, named, plain_words, read_table, slim, small_batches
+from karstline.llm.common import WordHashes, as_long, bounded, checkpoint, freed, fresh_name, list_array, looked_up, mix64, named, plain_words, read_table, slim, small_batches, tidy
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -241,6 +241,7 @@ def near_duplicates(
         least = members.groupBy("id").agg(F.min("node").alias("b"), F.count("*").alias("times")).where("times > 1")
         edges = edges.unionAll(looked_up(members, least, ["id"], total).select(F.col("node").alias("a"), "b"))
 
+    tidy(docs.sparkSession)
     roots = nodes.select("node", "id", "k1", "k2", "times").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = checkpoint(roots)
     least = roots.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("times"))
@@ -324,6 +325,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class of near-duplicates the rows with the least id stay."""
+    tidy(spark)
     gone = fresh_name("gone")
     ids = checkpoint(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct())
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

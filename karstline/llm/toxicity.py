@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karstline.llm.common import alnum_words, bounded, checkpoint, free_names, fresh_name, is_held_out, named, numbered, read_table, small_batches
+from karstline.llm.common import alnum_words, bounded, checkpoint, free_names, freed, fresh_name, is_held_out, named, numbered, read_table, small_batches, tidy
 
 #: Labelled texts that are fitted at most, those with the least hash of their id, and their bytes in all.
 EXAMPLES, EXAMPLE_BYTES = 6000, 12 << 20
@@ -136,7 +136,7 @@ class Examples:
 class Model:
     """Words, their weights, index, calibration, and the label rate of all examples."""
 
-    BATCH = 128
+    BATCH = 64
 
     def __init__(self, examples: Examples, frequencies: np.ndarray, documents: int, k: int = NEIGHBOURS):
         """``frequencies``: by number of the word, how many of ``documents`` documents have it."""
@@ -217,7 +217,7 @@ def document_frequencies(docs: DataFrame, words: dict[bytes, int], text_col: str
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[some])], names=["word", "n"])
 
-    counted = bounded(docs).select(named(text_col)).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    counted = bounded(docs).select(named(text_col)).mapInArrow(freed(run), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     shared.destroy()
     found = np.zeros(len(words) + 1)
     found[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
@@ -285,18 +285,20 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             evidence = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, parts.values(), strict=True)], names=list(parts)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array([s for s, _ in pairs], pa.float64()), evidence], names=schema.names)
 
-    return rows.mapInArrow(run, schema).toDF(*kept, *added)
+    return rows.mapInArrow(freed(run), schema).toDF(*kept, *added)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+    tidy(spark)  # the driver needs the model no longer
     return scored.select("doc_id", is_held_out(F.col("doc_id"), HELD_OUT_PARTS).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a score of ``THRESHOLD`` or more go."""
     scored = score(docs, fit(docs, read_table(spark, sf_dir, "labels")), keep=True)
+    tidy(spark)  # the driver needs the model no longer
     mine = free_names(docs.columns, "score", "evidence")[0]
     return scored.where(named(mine) < THRESHOLD).select(*map(named, docs.columns))
 
