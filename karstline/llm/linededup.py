@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karstline.llm.common import bounded, checkpoint, free_names, fresh_name, named, read_table, small_batches
+from karstline.llm.common import bounded, checkpoint, free_names, freed, fresh_name, looked_up, named, read_table, small_batches, tidy
 
 MAX_EDITS = 1
 #: Every line takes part; a caller may leave shorter ones alone.
 MIN_CHARS = 0
 COARSE, FINE = 2, 8
-#: Rows of keys or line numbers that are broadcast at most (64 bytes each at most); more go through a shuffle.
+#: Rows of places or ids that are broadcast at most (64 bytes each at most); more go through a shuffle.
 BROADCAST_ROWS = 100_000
 #: Variants that a task holds at once, about.
 VARIANT_ROWS = 100_000
@@ -148,7 +148,7 @@ def _occurrences(rows: DataFrame, min_chars: int, keyed: bool) -> DataFrame:
             columns = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "line", "h1", "h2", "keys"])
 
-    return rows.mapInArrow(run, "id long, h long, line int, h1 long, h2 long, keys array<long>")
+    return rows.mapInArrow(freed(run), "id long, h long, line int, h1 long, h2 long, keys array<long>")
 
 
 def _texts(rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -167,14 +167,19 @@ def _texts(rows: DataFrame, places: DataFrame) -> DataFrame:
 
     found = rows.join(wanted, ["id", "h"]).select("id", "h", "text", "wanted")
     # rows that share id and text give their lines more than once
-    return found.mapInArrow(run, "id long, h long, line int, h1 long, h2 long, text string").dropDuplicates(["h1", "h2"])
+    return found.mapInArrow(freed(run), "id long, h long, line int, h1 long, h2 long, text string").dropDuplicates(["h1", "h2"])
 
 
-def _near(rows: DataFrame, occurrences: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``(id, h, line)`` of lines with an earlier line one edit away."""
+def _sharing(keyed: DataFrame, total: int) -> DataFrame:
+    """Those rows ``(h1, h2, key)`` whose key other lines have too; ``total`` is the most there can be."""
+    keys = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.count("*").alias("times")).where("lo != hi")
+    return looked_up(keyed, checkpoint(keys.select("key", "times")), ["key"], total)
+
+
+def _near(rows: DataFrame, occurrences: DataFrame, firsts: DataFrame, total: int) -> DataFrame:
+    """``(id, h, line)`` of lines with an earlier line one edit away, from the ``total`` occurrences of lines."""
     keyed = occurrences.select("h1", "h2", F.explode("keys").alias("key"))
-    shared = checkpoint(keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("key"))
-    candidates = keyed.join(_fits(shared), "key", "left_semi").select("h1", "h2").distinct()
+    candidates = _sharing(keyed, 2 * COARSE * total).select("h1", "h2").distinct()
     places = checkpoint(firsts.join(candidates, ["h1", "h2"], "left_semi").select("first.*", "h1", "h2"))
     lines = checkpoint(_texts(rows, places))
 
@@ -182,10 +187,9 @@ def _near(rows: DataFrame, occurrences: DataFrame, firsts: DataFrame) -> DataFra
         for b in small_batches(batches):
             yield _batch([(h1, h2, k[0]) for h1, h2, t in _columns(b) for k in block_keys(t, FINE)], h1=pa.int64(), h2=pa.int64(), key=pa.int64())
 
-    keyed = lines.select("h1", "h2", "text").mapInArrow(fine, "h1 long, h2 long, key long")
-    shared = checkpoint(keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("key"))
+    keyed = lines.select("h1", "h2", "text").mapInArrow(freed(fine), "h1 long, h2 long, key long")
     # at most 16 keys a line, so collect_set is bounded by the line itself
-    wanted = keyed.join(_fits(shared), "key", "left_semi").groupBy("h1", "h2").agg(F.collect_set("key").alias("keys"))
+    wanted = _sharing(keyed, 2 * FINE * lines.count()).groupBy("h1", "h2").agg(F.collect_set("key").alias("keys"))
 
     def neighbourhood(batches):
         for b in small_batches(batches):
@@ -198,7 +202,7 @@ def _near(rows: DataFrame, occurrences: DataFrame, firsts: DataFrame) -> DataFra
             yield _batch(out, id=pa.int64(), h=pa.int64(), line=pa.int32(), variant=pa.int64(), shorter=pa.bool_())
 
     emitted = lines.join(wanted, ["h1", "h2"]).select(*PLACE, "text", "keys")
-    emitted = checkpoint(emitted.mapInArrow(neighbourhood, "id long, h long, line int, variant long, shorter boolean"))
+    emitted = checkpoint(emitted.mapInArrow(freed(neighbourhood), "id long, h long, line int, variant long, shorter boolean"))
     place = F.struct(*PLACE)
     long = emitted.where("NOT shorter").select("variant", place.alias("late"))
     earliest = long.groupBy("variant").agg(F.min("late").alias("early"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -223,7 +227,7 @@ def _near_by_many(rows: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
                         out = []
             yield _batch(out, id=pa.int64(), h=pa.int64(), line=pa.int32(), variant=pa.int64(), marks=pa.int32(), gone=pa.int32())
 
-    emitted = lines.select(*PLACE, "text").mapInArrow(neighbourhood, "id long, h long, line int, variant long, marks int, gone int")
+    emitted = lines.select(*PLACE, "text").mapInArrow(freed(neighbourhood), "id long, h long, line int, variant long, marks int, gone int")
     emitted = checkpoint(emitted.select("variant", "marks", "gone", F.struct(*PLACE).alias("late")))
     # the earliest line of a variant for each number of deletions that leaves enough edits to the other
     firsts_of = emitted.groupBy("variant").agg(*[F.min(F.when(F.col("gone") <= d, F.col("late"))).alias(f"early{d}") for d in range(edits + 1)])
@@ -241,7 +245,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
 
     of = lambda name: lines.select(F.struct(*PLACE).alias(name), F.col("text").alias(f"{name}_text"))
     told = pairs.join(of("early"), "early").join(of("late"), "late").select("late.*", "early_text", "late_text")
-    return told.mapInArrow(verify, "id long, h long, line int").distinct()
+    return told.mapInArrow(freed(verify), "id long, h long, line int").distinct()
 
 
 def dedup_lines(
@@ -266,19 +270,19 @@ def dedup_lines(
     rows = bounded(docs).select(ident.alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     occurrences = checkpoint(_occurrences(rows, min_chars, max_edits == 1))
     place = F.struct(*PLACE)
-    firsts = checkpoint(occurrences.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")))
-    again = _fits(firsts.where("first != last").select("h1", "h2", "first"))
-    dropped = occurrences.join(again, ["h1", "h2"]).where(place != F.col("first")).select(*PLACE)
+    firsts = checkpoint(occurrences.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("times")))
+    total = firsts.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    again = firsts.where("first != last").select("h1", "h2", "first", "times")
+    dropped = looked_up(occurrences.select("h1", "h2", *PLACE), again, ["h1", "h2"], total).where(place != F.col("first")).select(*PLACE)
     firsts = firsts.select("h1", "h2", "first")
     if max_edits == 1:
-        dropped = dropped.unionAll(_near(rows, occurrences, firsts))
+        dropped = dropped.unionAll(_near(rows, occurrences, firsts, total))
     elif max_edits:
         dropped = dropped.unionAll(_near_by_many(rows, firsts, max_edits))
     dropped = checkpoint(dropped.distinct())
 
     i, h, gone = fresh_name("id"), fresh_name("h"), fresh_name("gone")
     by_row = dropped.groupBy(F.col("id").alias(i), F.col("h").alias(h)).agg(F.array_sort(F.collect_list("line")).alias(gone))
-    by_row = F.broadcast(by_row) if dropped.count() <= BROADCAST_ROWS else by_row
     keyed = docs.select("*", ident.alias(i), F.xxhash64(text).alias(h))
     several = rows.groupBy(F.col("id").alias(i), F.col("h").alias(h)).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     several = checkpoint(several)
@@ -312,6 +316,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated lines go; a document of nothing but repeated lines stays, with an empty text."""
+    tidy(spark)
     done = dedup_lines(docs)
     own = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else named(c) for c in docs.columns]
     return done.select(*own)
