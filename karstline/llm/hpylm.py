@@ -47,8 +47,10 @@ OWNERS = 4096
 LAYOUT_DOCS, HOT_WORDS = 4000, 2048
 #: Customers of one dish up to which its tables are drawn from their exact distribution.
 EXACT = 64
+#: Customers up to which the weights are multiplied as they are, without a risk to underflow; beyond, by their logs.
+PLAIN = 12
 #: With more, customers sit down in turn, one by one up to this number, then in groups of a 64th of those seated.
-SINGLY = 1024
+SINGLY = 256
 #: Hashed like a word, but no word holds a space.
 END, START = b"end of text", b"start of text"
 _SHIFT = np.uint64(64 - CONTEXT_BITS)
@@ -73,27 +75,42 @@ class Seating:
     def __init__(self, discount: float, rng: np.random.Generator):
         self.discount, self.rng, self.log = discount, rng, stirling(discount)
 
-    def draw(self, customers: np.ndarray, room: np.ndarray, first: np.ndarray, later: np.ndarray, whole: float, grows: int = 1) -> np.ndarray:
+    @staticmethod
+    def by_size(customers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The dishes sorted by their customers, and where each number from 2 on begins."""
+        order = np.argsort(customers, kind="stable")
+        return order, np.searchsorted(customers[order], np.arange(2, EXACT + 2), "left")
+
+    def draw(
+        self, customers: np.ndarray, room: np.ndarray, later: np.ndarray, whole: float, grows: int = 1,
+        sorted_by: tuple[np.ndarray, np.ndarray] | None = None,
+    ) -> np.ndarray:
         """Tables of each dish.
 
         ``room`` is the restaurant's strength plus discount times its other tables.
-        A table's dish comes from the parent with probability ``first / whole`` for
-        the dish's first table here, then ``(later + j) / (whole + j)`` after j tables,
-        or always the same if ``grows`` is 0.
+        A further table's dish comes from the parent with probability ``(later + j) /
+        (whole + j)`` after j tables of it here, or always the same if ``grows`` is 0.
         """
         tables = np.ones(len(customers))
-        order = np.argsort(customers, kind="stable")
-        ends = np.searchsorted(customers[order], np.arange(2, EXACT + 2), "left")
+        order, ends = sorted_by or self.by_size(customers)
         for c, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), 2):
             if a == b:
                 continue
-            at, j = order[a:b], np.arange(c)
-            new = np.log(room[at, None] + self.discount * j)
-            new[:, 0] += np.log(first[at] / whole)
-            new[:, 1:] += np.log((later[at, None] + grows * j[1:]) / (whole + grows * j[1:]))
-            weight = np.cumsum(new, axis=1) + self.log[c, 1 : c + 1]
-            p = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-            tables[at] = 1 + (p < self.rng.random((len(at), 1)) * p[:, -1:]).sum(axis=1)
+            at, j = order[a:b], np.arange(1, c)
+            # each further table's weight over that of the first alone, which all numbers of tables share
+            new = (room[at, None] + self.discount * j) * ((later[at, None] + grows * j) / (whole + grows * j))
+            if c <= PLAIN:
+                weight = np.empty((b - a, c))
+                weight[:, 0] = 1.0
+                np.cumprod(new, axis=1, out=weight[:, 1:])
+                weight *= np.exp(self.log[c, 1 : c + 1] - self.log[c, c])
+            else:
+                weight = np.zeros((b - a, c))
+                np.cumsum(np.log(new), axis=1, out=weight[:, 1:])
+                weight += self.log[c, 1 : c + 1]
+                weight = np.exp(weight - weight.max(axis=1, keepdims=True))
+            p = np.cumsum(weight, axis=1)
+            tables[at] = 1 + (p < self.rng.random((b - a, 1)) * p[:, -1:]).sum(axis=1)
         many = order[ends[-1] :]
         if len(many):
             tables[many] = self._in_turn(customers[many], room[many], later[many], whole, grows)
@@ -167,11 +184,13 @@ def _steps(sorted_values: np.ndarray) -> np.ndarray:
 
 
 def _pack(token: np.ndarray, context: np.ndarray, docs: np.ndarray, learns: np.ndarray) -> bytes:
-    """Tokens sorted by word, then context."""
-    first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    """Tokens, put in order by word, then context."""
+    words, word = np.unique(token, return_inverse=True)
     contexts, place = np.unique(context, return_inverse=True)
-    runs = np.diff(np.append(first, len(token)))
-    return b"".join([squeeze(_steps(token[first])), squeeze(runs.astype(np.uint32)), squeeze(_steps(contexts)), squeeze(place.astype(np.uint32)), squeeze(docs.astype(np.uint16)), squeeze(np.packbits(learns))])
+    order = np.argsort(word * len(contexts) + place)
+    runs = np.bincount(word)
+    parts = [_steps(words), runs.astype(np.uint32), _steps(contexts), place[order].astype(np.uint32), docs[order].astype(np.uint16), np.packbits(learns[order])]
+    return b"".join(map(squeeze, parts))
 
 
 def _unpack(blob: bytes):
@@ -313,22 +332,22 @@ def sweeps(bucket: Bucket, totals: Totals, state: State, customers: np.ndarray,
     cold = np.ones(len(bucket.words), bool)
     cold[hot] = False
     turns = [bucket.several[bucket.several % 2 == half] for half in (0, 1)]
+    sorted_by = [leaf.by_size(bucket.count[turn]) for turn in turns]
     kept = State([], [], state.shared & (customers != bucket.customers))
     for sweep in range(burn_in + samples):
-        for turn in turns:
+        for turn, order in zip(turns, sorted_by, strict=True):
             w, u, own = bucket.word[turn], bucket.context[turn], t[turn]
             room = STRENGTH + totals.discount * (other + bucket.of_contexts(t))[u] - totals.discount * own
             c0 = np.maximum((far + bucket.of_words(t))[w] - own, 0)
             tables = np.minimum(t0[w], c0)
-            first = c0 - totals.root_discount * tables + base[w]
             # the first table of a word that the parent has nowhere else takes a table there
-            later = np.where(c0 > 0, first, base[w] - totals.root_discount)
-            t[turn] = leaf.draw(bucket.count[turn], room, first, later, whole)
+            later = base[w] + np.where(c0 > 0, c0 - totals.root_discount * tables, -totals.root_discount)
+            t[turn] = leaf.draw(bucket.count[turn], room, later, whole, sorted_by=order)
             c0 = far + bucket.of_words(t)
             t0[cold] = np.minimum(c0[cold], 1)
             many = np.flatnonzero(cold & (c0 > 1))
             chance, room = totals.base(known)[many], ROOT_STRENGTH + totals.root_discount * np.maximum(totals.root_tables[s] - t0[many], 0)
-            t0[many] = parent.draw(c0[many], room, chance, chance, 1.0, 0)
+            t0[many] = parent.draw(c0[many], room, chance, 1.0, 0)
         if sweep >= burn_in:
             kept.tables.append(t.copy())
             kept.root.append(t0.copy())
@@ -375,7 +394,7 @@ def _parts(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             spread = np.isin(token, hot)
             bucket[spread] = mix64(token[spread] ^ mix64(context[spread] + np.uint64(1))) % np.uint64(buckets)
             del spread
-            order = np.lexsort((context, token, bucket))
+            order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
             token, context, doc, bucket = token[order], context[order], doc[order], bucket[order]
             del order
             learn = np.array(learns)[doc]
@@ -583,7 +602,7 @@ def _sample(tokens: DataFrame, totals: Totals, answers: DataFrame, owners: int,
         chance = totals.base(known)
         before = np.array([totals.hot[-1][w][1] for w in words])
         room = ROOT_STRENGTH + totals.root_discount * np.maximum(totals.root_tables[-1] - before, 0)
-        t = np.where(known, seating.draw(np.maximum(c, 1), room, chance, chance, 1.0, 0), 0.0)
+        t = np.where(known, seating.draw(np.maximum(c, 1), room, chance, 1.0, 0), 0.0)
         hot.append({w: (x, y) for w, x, y in zip(words, c.tolist(), t.tolist(), strict=True)})
         tables.append(cold[s] + t.sum())
     return replace(totals, root_customers=list(customers), root_tables=tables, hot=hot), answers

@@ -97,9 +97,9 @@ def exact_tables(customers, room, first, later, whole, d):
         nxt = Counter()
         for sizes, p in states.items():
             j = len(sizes)
-            nxt[(*sizes, 1)] += p * (room + d * j) * (later + j) / (whole + j)
+            nxt[tuple(sorted((*sizes, 1)))] += p * (room + d * j) * (later + j) / (whole + j)
             for k, n in enumerate(sizes):
-                nxt[(*sizes[:k], n + 1, *sizes[k + 1 :])] += p * (n - d)
+                nxt[tuple(sorted((*sizes[:k], n + 1, *sizes[k + 1 :])))] += p * (n - d)
         states = nxt
     out = Counter()
     for sizes, p in states.items():
@@ -109,12 +109,12 @@ def exact_tables(customers, room, first, later, whole, d):
 
 def test_tables_are_drawn_from_their_exact_distribution():
     rng = np.random.default_rng(0)
-    for c, room, first, later, whole, d in ((2, 1.5, 0.2, 0.6, 9.0, 0.4), (3, 1.0, 2.0, 2.0, 5.0, 0.7), (6, 4.0, 0.01, 0.3, 3.0, 0.2)):
+    for c, room, first, later, whole, d in ((2, 1.5, 0.2, 0.6, 9.0, 0.4), (3, 1.0, 2.0, 2.0, 5.0, 0.7), (6, 4.0, 0.01, 0.3, 3.0, 0.2), (14, 2.0, 0.5, 0.5, 4.0, 0.5)):
         n = 40_000
-        got = Counter(h.Seating(d, rng).draw(np.full(n, float(c)), np.full(n, room), np.full(n, first), np.full(n, later), whole).tolist())
+        got = Counter(h.Seating(d, rng).draw(np.full(n, float(c)), np.full(n, room), np.full(n, later), whole).tolist())
         for t, p in exact_tables(c, room, first, later, whole, d).items():
             assert abs(got[t] / n - p) < 0.01
-    many = h.Seating(0.5, rng).draw(np.array([5000.0, 3.0, 1.0]), np.array([2.0, 1e-12, 1.0]), np.ones(3), np.ones(3), 10.0)
+    many = h.Seating(0.5, rng).draw(np.array([5000.0, 3.0, 1.0]), np.array([2.0, 1e-12, 1.0]), np.array([1.0, 1e-12, 1.0]), 1.0, 0)
     assert 1 <= many[0] <= 5000 and many[1:].tolist() == [1, 1]
 
 
